@@ -151,3 +151,8 @@ def row_hash(w: Words) -> tuple[np.ndarray, np.ndarray]:
         sums = np.concatenate([np.zeros(1, U), np.cumsum(h)]) if n else np.zeros(1, U)
         out.append(mix(sums[w.first[1:]] - sums[w.first[:-1]] + np.diff(w.first).astype(U)) if rows else np.zeros(0, U))
     return out[0], out[1]
+
+
+def run_hash(hashes: np.ndarray) -> np.ndarray:
+    """The hash that shingles() gives a run of exactly these words."""
+    return mix(np.array([(hashes * _COEF[: len(hashes)]).sum(dtype=U)], dtype=U))
