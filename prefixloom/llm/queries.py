@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefixloom.llm import decontam, mixing
+from prefixloom.llm import decontam, mixing, setsketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op4_decontamination"] = decontam.SQL.format(docs="documents", bench="benchmark")
 
 
+@_query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.groups(_read(spark, sf_dir, "documents"))
+
+
 @_query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "copies")
