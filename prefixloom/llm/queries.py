@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefixloom.llm import decontam, mixing, setsketch
+from prefixloom.llm import chaining, decontam, mixing, setsketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.groups(_read(spark, sf_dir, "documents"))
 
 
+@_query
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(_read(spark, sf_dir, "documents")).drop("part")
+
+
 @_query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "source", "copies")
