@@ -19,6 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -356,8 +357,6 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
 
 def is_toxic(docs: DataFrame, net: Network | None) -> Column:
     """A boolean column over docs' text, for filters that keep whole rows."""
-    import pandas as pd
-
     scored = _scorer(docs, net)
 
     @F.pandas_udf("boolean")
