@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefixloom.llm import chaining, decontam, langid, mixing, setsketch, toxicity
+from prefixloom.llm import chaining, decontam, langid, mixing, pitmanyor, projections, setsketch, styletree, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_mixing"] = mixing.SQL.format(docs="documents")
+
+
+@_query
+def op3_main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styletree.extract(_read(spark, sf_dir, "pages"))
+
+
+@_query
+def op5_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.groups(_read(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
+ORACLES["op6_warc"] = warc.SQL.format(pages="pages")
+
+
+@_query
+def op7_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.perplexities(_read(spark, sf_dir, "documents"))
