@@ -237,7 +237,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         fs.create_dir(base, recursive=True)
         name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz"
         size = 0
-        with fs.open_output_stream(f"{base}/{name}") as f:
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
             for b in batches:
                 for page_id, url, source in zip(*(b.column(i).to_pylist() for i in range(3))):
                     fields = [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>"), ("WARC-Date", "2024-01-01T00:00:00Z")]
