@@ -1,3 +1,5 @@
 """Imports every module that registers queries."""
 
+from prefixloom.plans import cluster, reuse  # noqa: F401
+
 FLAGSHIP = "reuse_report"
