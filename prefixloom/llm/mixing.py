@@ -10,7 +10,7 @@ k-th are taken, and only that bin is ranked. No task holds a source, however hot
 
 Defined cases: a null source is a source of its own. A null or negative n_chars is 0; a document of size 0 gets no copy, unless all of
 its source have size 0, when all count 1. Ties of rank go to the smaller doc_id, null first; rows that repeat
-a doc_id are separate and tie. An empty table gives no rows. Other columns pass through; internal names start with __px_.
+a doc_id are separate and tie. An empty table gives no rows. Other columns pass through, whatever their names, but for an earlier `copies`.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefixloom.llm.shared import materialise
+from prefixloom.llm.shared import materialise, set_aside
 
 BINS = 4096
 MOST_BROADCAST_SOURCES = 100_000
@@ -58,7 +58,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
         return F.broadcast(right) if right.limit(MOST_BROADCAST_SOURCES + 1).count() <= MOST_BROADCAST_SOURCES else right
 
     had = docs.columns
-    docs = docs.drop("copies") if "copies" in had else docs
+    docs, restore = set_aside(docs.drop("copies") if "copies" in had else docs)
     aim = materialise(targets(docs, weights, total).select(F.col("source").alias("__px_s"), F.col("size").alias("__px_size"), F.col("flat").alias("__px_flat"), F.col("target").alias("__px_target")), "targets")
     x = docs.join(few(aim), F.col("source").eqNullSafe(F.col("__px_s")))
     own = F.when(F.col("__px_flat"), F.lit(1)).otherwise(F.greatest(F.coalesce(F.col("n_chars"), F.lit(0)), F.lit(0))).cast("bigint")
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
     order = Window.partitionBy("__px_s").orderBy("__px_q", F.asc_nulls_first("doc_id"))
     ranked = x.where(at).withColumn("copies", F.col("__px_sure") + (F.row_number().over(order) <= F.col("__px_rest")).cast("bigint"))
     out = [c for c in docs.columns] + ["copies"]
-    return plain.select(out).unionAll(ranked.select(out)).where("copies > 0")
+    return restore(plain.select(out).unionAll(ranked.select(out)).where("copies > 0"))
 
 
 SQL = """

@@ -107,7 +107,7 @@ def near(group: np.ndarray, node: np.ndarray, sign: np.ndarray, window: int, mos
         lo = max(0, new_from - step)
         i = np.flatnonzero(group[lo + step :] == group[lo : len(group) - step]) + lo
         x = sign[i] ^ sign[i + step]
-        apart = _ONES[x.view(np.uint16).reshape(len(i), -1)].sum(axis=1)
+        apart = _ONES[x.view(np.uint16).reshape(len(i), 4 * _SIGN_WORDS)].sum(axis=1)
         i = i[apart <= most]
         a.append(node[i])
         b.append(node[i + step])

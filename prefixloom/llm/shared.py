@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,7 +108,14 @@ def small_ids(df: DataFrame, column: str, most: int = 4_000_000):
 
 def drop_ids(docs: DataFrame, losers: DataFrame, column: str = "doc_id", most: int = 500_000) -> DataFrame:
     """docs without the rows whose id is in losers; broadcast while losers has at most `most` ids, else a shuffled anti-join."""
-    losers = losers.select(F.col(column).alias("__px_id")).distinct()
+    own = f"__px_{uuid.uuid4().hex}"
+    losers = losers.select(F.col(column).alias(own)).distinct()
     if losers.limit(most + 1).count() <= most:
         losers = F.broadcast(losers)
-    return docs.join(losers, docs[column] == F.col("__px_id"), "left_anti")
+    return docs.join(losers, docs[column] == F.col(own), "left_anti")
+
+
+def set_aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns named as our own, __px_..., renamed; and what gives a result their names back."""
+    names = {c: f"__own_{i}_{uuid.uuid4().hex}" for i, c in enumerate(docs.columns) if c.startswith("__px_")}
+    return docs.withColumnsRenamed(names), lambda out: out.withColumnsRenamed({v: k for k, v in names.items()})
