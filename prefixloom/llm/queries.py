@@ -24,7 +24,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 @_query
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.train(*toxicity.sample(docs, _read(spark, sf_dir, "labels"))))
+    return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
 
 
 @_query

@@ -16,6 +16,7 @@ ignored; a document labelled both ways is toxic in training. An empty table give
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -227,14 +228,22 @@ def _select(t: Tokens, at: np.ndarray) -> Tokens:
 
 def _cut(texts: pa.Array) -> tuple[Tokens, np.ndarray, np.ndarray, int]:
     """Distinct tokens of texts, windows of their ids (padded), each window's text, number of texts."""
-    (w,) = text.words(texts, 1 << 62)
-    distinct, where, ids = np.unique(w.hash, return_index=True, return_inverse=True)
-    start, row = windows(w.first)
-    t = tokens(w.data, w.start[where], w.end[where], distinct)
+    raw, offsets = text.buffers(texts)
+    hashes, begins, ends, first = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+    for w in text.words(texts):  # span by span, as splitting takes many times the bytes of a span
+        base = offsets[w.row0]
+        hashes.append(w.hash)
+        begins.append(w.start + base)
+        ends.append(w.end + base)
+        first.append(w.first[1:] + first[-1][-1])
+    hashes, begins, ends, first = map(np.concatenate, (hashes, begins, ends, first))
+    distinct, where, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    start, row = windows(first)
+    t = tokens(raw, begins[where], ends[where], distinct)
     padded = np.append(ids, np.full(SPAN, len(distinct)))
     index = start[:, None] + np.arange(SPAN)
-    ids = np.where(index < w.first[1:][row][:, None], padded[np.minimum(index, len(padded) - 1)], len(distinct))
-    return t, ids, row, w.row1 - w.row0
+    ids = np.where(index < first[1:][row][:, None], padded[np.minimum(index, len(padded) - 1)], len(distinct))
+    return t, ids, row, len(offsets) - 1
 
 
 def train(texts: list[str], toxic: list[bool], rounds: int = ROUNDS, seed: int = SEED) -> Network | None:
@@ -303,16 +312,33 @@ def score_windows(net: Network, t: Tokens, ids: np.ndarray, at_once: int = 1024)
     return np.concatenate([forward(net, x, ids[i : i + at_once]) for i in range(0, len(ids), at_once)] or [np.zeros(0, np.float32)])
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[str], list[bool]]:
-    """Texts and labels of at most `most` documents of each class, those with the least hash of doc_id."""
+def sampled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """(id, toxic, text) of at most `most` documents of each class, those with the least hash of doc_id."""
     per = labels.select(F.col("doc_id").cast("long").alias("__px_id"), (F.col("toxic") != 0).alias("__px_toxic")).where("__px_id is not null and __px_toxic is not null")
     per = per.groupBy("__px_id").agg(F.max("__px_toxic").alias("__px_toxic"))
     order = F.xxhash64("__px_id")
     per = per.where("__px_toxic").orderBy(order, "__px_id").limit(most).union(per.where("not __px_toxic").orderBy(order, "__px_id").limit(most))
     rows = docs.select(F.col("doc_id").cast("long").alias("__px_d"), F.col("text").cast("string").alias("text")).where("text is not null")
     # at most 2 * most ids: a bounded broadcast
-    got = rows.join(F.broadcast(per), F.col("__px_d") == F.col("__px_id")).select("__px_id", "__px_toxic", "text").dropDuplicates(["__px_id"]).toArrow().sort_by("__px_id")
-    return got.column("text").to_pylist(), got.column("__px_toxic").to_pylist()
+    got = rows.join(F.broadcast(per), F.col("__px_d") == F.col("__px_id")).groupBy("__px_id", "__px_toxic").agg(F.min("text").alias("text"))
+    return got.select(F.col("__px_id").alias("id"), F.col("__px_toxic").alias("toxic"), "text")
+
+
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[str], list[bool]]:
+    got = sampled(docs, labels, most).toArrow().sort_by("id")
+    return got.column("text").to_pylist(), got.column("toxic").to_pylist()
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Network | None:
+    """The network of the sample, trained in one task: the driver gets the weights, 2 MB, and no texts."""
+
+    def run(batches):
+        rows = sorted((i, t, x) for b in batches for i, t, x in zip(*(b.column(k).to_pylist() for k in range(3))))
+        net = train([x for *_, x in rows], [t for _, t, _ in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+    got = sampled(docs, labels, most).coalesce(1).mapInArrow(run, "net binary").first()
+    return pickle.loads(got.net) if got else None
 
 
 def _scorer(docs: DataFrame, net: Network | None):
@@ -368,4 +394,4 @@ def is_toxic(docs: DataFrame, net: Network | None) -> Column:
 
 def reject(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """docs without the toxic ones."""
-    return docs.where(~is_toxic(docs, train(*sample(docs, labels, most))))
+    return docs.where(~is_toxic(docs, fit(docs, labels, most)))
