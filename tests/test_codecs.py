@@ -34,7 +34,7 @@ def test_listener_and_local_frames(spark):
     rows = [(raw,), (raw[:16] + bytes(8) + raw[24:],), (raw[:24] + bytes(8) + raw[32:],)]
     assert [r.problem for r in frames.parse_listener(spark.createDataFrame(rows, "frame binary").coalesce(1)).collect()] == [None, "zero sequence", "zero id"]
     local = struct.pack("<IHHHHIQQ", frames.LOCAL_MAGIC, 1, 32, 2, 1, 3, 9, 0) + data
-    u = lambda x: F.lit(x).cast(binary.U64)
+    u = lambda x: F.lit(str(x)).cast(binary.U64)
     r = spark.range(1).select(frames.local_frame(F.lit(2), F.lit(1), u(9), F.lit(data)).alias("a"), frames.listener_frame(F.lit(1), u(5), u(6), F.lit(data)).alias("b"), frames.ready_payload(u(BIG), F.lit(8), F.lit(3), F.lit(7), F.lit("shm")).alias("c"), frames.allocate_payload(u(4), F.lit(5)).alias("d"), frames.allocation_payload(u(4), F.lit(6), F.lit(5), F.lit("n")).alias("e")).first()
     assert bytes(r.a) == local and bytes(r.b) == raw
     assert bytes(r.c) == struct.pack("<QQQIHH", BIG, 8, 3, 7, 3, 0) + b"shm"
