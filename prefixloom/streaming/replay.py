@@ -53,41 +53,41 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 class Locations(StatefulProcessor):
-    """Last write per key with tombstones that expire. A late upsert may revive a key whose tombstone is gone, as its version is forgotten with it."""
+    """Last write per key. A tombstone's state expires, unless ttl_ms is None; a late upsert may then revive the key, as its version is forgotten with it."""
 
-    def __init__(self, ttl_ms: int = catalog.TOMBSTONE_TTL_S * 1000):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("last", "version long, kind int")
+        self.live = handle.getValueState("live", "version long")
+        self.dead = handle.getValueState("dead", "version long", self.ttl_ms) if self.ttl_ms else handle.getValueState("dead", "version long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        version, kind = self.state.get() if self.state.exists() else (0, 0)
+        version, kind = 0, 0
+        if self.live.exists():
+            version, kind = self.live.get()[0], catalog.UPSERT
+        elif self.dead.exists():
+            version, kind = self.dead.get()[0], catalog.DELETE
         for pdf in rows:
             for v, k in zip(pdf["version"], pdf["kind"]):
                 if v > version:
                     version, kind = int(v), int(k)
-        if version:
-            self.state.update((version, kind))
-            for t in self.handle.listTimers():
-                self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-            if kind == catalog.DELETE:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms)
+        (self.live if kind == catalog.UPSERT else self.dead).update((version,))
+        (self.dead if kind == catalog.UPSERT else self.live).clear()
         yield pd.DataFrame({"block_id": [key[0]], "node_id": [key[1]], "tier": [key[2]], "version": [version], "kind": [kind]})
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        yield pd.DataFrame({"block_id": pd.Series(dtype="int64"), "node_id": pd.Series(dtype="str"), "tier": pd.Series(dtype="int32"), "version": pd.Series(dtype="int64"), "kind": pd.Series(dtype="int32")})
-
     def close(self) -> None:
         pass
 
 
-def expiring_locations(events: DataFrame, ttl_s: int = catalog.TOMBSTONE_TTL_S) -> DataFrame:
-    """Changes of (block, node, tier), tombstones kept for ttl_s. Needs the RocksDB state store, STATE_STORE."""
+def expiring_locations(events: DataFrame, ttl_s: int | None = catalog.TOMBSTONE_TTL_S) -> DataFrame:
+    """Changes of (block, node, tier), tombstones kept for ttl_s. Needs the RocksDB state store, STATE_STORE.
+
+    Expiry goes by processing time, under which a stream has always another batch to run: drain() doesn't end. ttl_s = None keeps tombstones.
+    """
     schema = "block_id long, node_id string, tier int, version long, kind int"
-    return events.where("version > 0").groupBy(*catalog.KEY).transformWithStateInPandas(Locations(ttl_s * 1000), schema, "Update", "ProcessingTime")
+    x = events.where("version > 0").groupBy(*catalog.KEY)
+    return x.transformWithStateInPandas(Locations(ttl_s * 1000 if ttl_s else None), schema, "Update", "ProcessingTime" if ttl_s else "None")
 
 
 class Members(StatefulProcessor):

@@ -14,8 +14,8 @@ def test_expiring_locations_equal_the_replay(spark, tmp_path):
     schema = "block_id long, node_id string, tier int, kind int, version long"
     for i in range(3):
         spark.createDataFrame(rows[i * 20 : i * 20 + 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
-    out = replay.drain(replay.expiring_locations(stream), "update")
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "log"))
+    out = replay.drain(replay.expiring_locations(stream, None), "update")
     last = out.groupBy("block_id", "node_id", "tier").agg(F.max_by("kind", "version").alias("kind"), F.max("version").alias("version"))
     want = catalog.replay(spark.createDataFrame(rows, schema)).select("block_id", "node_id", "tier", "kind", "version")
     assert sorted(last.select(*want.columns).collect()) == sorted(want.collect())
