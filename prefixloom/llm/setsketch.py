@@ -8,10 +8,10 @@ pairs whose estimate could reach the threshold are verified on the exact sets, a
 
 Nothing is capped, yet no step is quadratic in a group of copies:
 * documents with equal sets are one node from the start, named by a 64-bit fingerprint of the set;
-* in a band's bucket every node is paired with the least one; a node whose estimate with it fails is paired with all
-  others of the bucket. So every bucket mate is either compared or linked through the least one;
-* of the candidate edges each node first verifies the one to its least partner; then only edges that still join two
-  different components are verified. Other edges could not change the groups.
+* in a band's bucket every node is paired with the least one, and verified with it if the estimate lets it; a node that isn't
+  verified is paired with all others of the bucket. So every bucket mate is either compared or linked through the least one;
+* pairs of such others are estimated and verified only if they still join two different components. Other edges could not
+  change the groups.
 
 Defined cases: texts without words, null or empty, and rows with a null doc_id are in no group. Texts of fewer than k words
 are one shingle of all their words. Rows of one doc_id are one document that is in the groups of all its rows. An empty
@@ -210,19 +210,38 @@ def _leads(t: pa.Table) -> pa.Table:
     return pa.table({"band": band[keep], "lead": lead[keep], "node": node[keep], "size": np.repeat(size, size)[keep]})
 
 
-def candidate_edges(nodes: DataFrame, m: int = M, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """Edges (a, b), a < b, whose estimated Jaccard index is within three standard errors of the threshold or above."""
-    keep = threshold - 3 * float(np.sqrt(threshold * (1 - threshold) / m))
-    links = materialise(grouped(_bands(nodes, m, rows), ["band"], ["node"], _leads, "band long, lead long, node long, size long"), "links")
+def bucket_links(nodes: DataFrame, m: int = M, rows: int = ROWS) -> DataFrame:
+    """(band, lead, node, size) of the buckets with two nodes or more."""
+    return grouped(_bands(nodes, m, rows), ["band"], ["node"], _leads, "band long, lead long, node long, size long")
+
+
+def lead_pairs(links: DataFrame, nodes: DataFrame, m: int, threshold: float) -> DataFrame:
+    """(a, b, close) of every node b with the least node a of a bucket. close: the estimate is within three standard errors or above."""
     pairs = links.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    first = materialise(_estimated(pairs, nodes, m, keep), "first")
-    far = first.where("not close").select("a", "b")
+    return _estimated(pairs, nodes, m, _least(m, threshold))
+
+
+def _least(m: int, threshold: float) -> float:
+    return threshold - 3 * float(np.sqrt(threshold * (1 - threshold) / m))
+
+
+def mate_pairs(links: DataFrame, first: DataFrame, sure: DataFrame, part: DataFrame, nodes: DataFrame, m: int, threshold: float) -> DataFrame:
+    """Edges (a, b), a < b, that the estimate leaves, of nodes not verified with their bucket's lead and all others of the bucket.
+
+    Pairs that part, the components of the verified pairs, holds together are left out.
+    """
+    far = first.select("a", "b").join(sure, ["a", "b"], "left_anti")
     odd = links.where("size > 2").join(far, (F.col("lead") == F.col("a")) & (F.col("node") == F.col("b"))).select("band", F.col("node").alias("x"))
     mates = links.select("band", F.col("node").alias("y"))
     rest = odd.join(mates, "band").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _estimated(rest, nodes, m, keep)
-    return materialise(first.union(second).where("close").select("a", "b"), "edges")
+    a, b = (part.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    rest = rest.join(a, "a", "left").join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    return _estimated(rest, nodes, m, _least(m, threshold)).where("close").select("a", "b")
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node")))
 
 
 def exact_sets(docs: DataFrame, names: DataFrame, k: int = K, most: int = MOST_IDS) -> DataFrame:
@@ -268,17 +287,17 @@ def groups(docs: DataFrame, k: int = K, m: int = M, rows: int = ROWS, threshold:
     """(doc_id, group_id) of the documents in a group of two or more; group_id is the group's least doc_id."""
     every = materialise(sketches(docs, k, m), "sketches")
     nodes = materialise(every.groupBy("node").agg(F.first("n").alias("n"), F.first("registers").alias("registers")), "nodes")
-    edges = candidate_edges(nodes, m, rows, threshold)
-    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node")))
-    own = materialise(exact_sets(docs, ends, k, most_ids).dropDuplicates(["node"]), "sets")
-    star = edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    sure = materialise(_verified(star, own, threshold), "sure")
-    part = components(sure)
-    a, b = (part.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    left = edges.join(star, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
-    left = left.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    more = _verified(left, own, threshold)
-    part = materialise(components(sure.union(more)), "groups")
+    links = materialise(bucket_links(nodes, m, rows), "links")
+    first = materialise(lead_pairs(links, nodes, m, threshold), "first")
+    close = first.where("close").select("a", "b")
+    own = materialise(exact_sets(docs, _ends(close), k, most_ids).dropDuplicates(["node"]), "sets")
+    sure = materialise(_verified(close, own, threshold), "sure")
+    part = materialise(components(sure), "parts")
+    more = materialise(mate_pairs(links, first, sure, part, nodes, m, threshold), "mates")
+    new = materialise(_ends(more).distinct().join(own, "node", "left_anti"), "new")
+    if new.limit(1).count():
+        own = own.unionByName(materialise(exact_sets(docs, new, k, most_ids).dropDuplicates(["node"]), "sets"))
+    part = materialise(components(sure.union(_verified(more, own, threshold))), "groups")
     of = every.select("doc_id", "node").join(part, "node", "left").select("doc_id", F.coalesce("component", "node").alias("g")).distinct()
     of = materialise(of, "members")
     size = of.groupBy("g").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
