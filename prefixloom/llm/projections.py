@@ -4,7 +4,8 @@ Each pass hashes a vector by BITS random hyperplanes and sorts all vectors lexic
 compared with the WINDOW vectors before it. Passes use different hyperplanes, so neighbours torn apart by an early bit of one
 meet in another. A 256-bit signature that travels with the sort drops neighbours whose Hamming distance says that the cosine can't
 reach the threshold (five standard errors of slack); the rest are verified on the vectors and the verified pairs of all
-passes united into groups.
+passes united into groups. Vectors are centred on a sample's mean before the key's hashes, and the number of passes follows the row
+count and the sample's crowding, PASSES at least, so that by the model of plan() RECALL of the pairs at the threshold is found.
 
 Equal directions are one node before the sort, so groups of exact copies, however large, take one place in a window. All passes
 are sorted by one range shuffle of 52-byte rows; windows that cross a range border are completed from the rows at the borders.
@@ -30,6 +31,8 @@ PASSES = 20
 BITS = 64
 WINDOW = 32
 SEED = 5
+SAMPLE = 1000
+RECALL = 0.95
 _SIGN_WORDS = 4
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 _planes: dict[tuple, np.ndarray] = {}
@@ -76,8 +79,44 @@ def vectors(table: DataFrame, id_column: str = "vec_id", column: str = "embeddin
     return x.mapInArrow(run, "id long, node long, dim int, unit binary")
 
 
-def keys(nodes: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
-    """(pass, key, node, sign): one row a pass. key sorts as the unsigned word does."""
+def plan(nodes: DataFrame, threshold: float = THRESHOLD, bits: int = BITS, window: int = WINDOW) -> tuple[int, dict[int, np.ndarray]]:
+    """(passes, centre by dimension) that find RECALL of the pairs at the threshold, modelled on SAMPLE nodes.
+
+    For each sampled vector: t, the bits after which at most half a window of the table's farther vectors still agree with it, and the odds
+    that a vector at the threshold agrees in t bits. Angles are those of the centred vectors. At least PASSES.
+    """
+    count = {r[0]: r[1] for r in nodes.groupBy("dim").count().collect()}
+    sample: dict[int, list] = {}
+    for r in nodes.select("dim", "unit").orderBy("node").limit(SAMPLE).collect():
+        sample.setdefault(r[0], []).append(np.frombuffer(r[1], "<f4"))
+    most, centres = PASSES, {}
+    for d, rows in sample.items():
+        n, u = len(rows), np.stack(rows).astype(float)
+        if n < 2:
+            continue
+        centres[d] = u.mean(axis=0).astype(np.float32)
+        c = u - centres[d]
+        r = np.maximum(np.sqrt((c * c).sum(axis=1)), 1e-9)
+        agree = 1 - np.arccos(np.clip(c @ c.T / (r[:, None] * r), -1, 1)) / np.pi
+        agree[u @ u.T >= threshold] = 0
+        near = 1 - 2 * np.arcsin(np.clip(np.sqrt(max(0.0, 2 - 2 * threshold)) / (2 * r), 0, 1)) / np.pi
+        t, left, power = np.zeros(n), np.ones(n, bool), np.ones_like(agree)
+        for _ in range(bits):
+            left &= count[d] * power.sum(axis=1) / n > window / 2
+            if not left.any():
+                break
+            t += left
+            power *= agree
+        odds = np.maximum(near**t, 1e-6)
+        passes = 1
+        while np.mean((1 - odds) ** passes) > 1 - RECALL:
+            passes = passes + 1 + passes // 16
+        most = max(most, passes)
+    return most, centres
+
+
+def keys(nodes: DataFrame, passes: int, bits: int, seed: int, centres: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """(pass, key, node, sign): one row a pass. key sorts as the unsigned word does; its hashes are of the vectors less their centre."""
 
     def run(batches):
         for b in batches:
@@ -89,7 +128,7 @@ def keys(nodes: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
                 sign = _packed(x, 64 * _SIGN_WORDS, seed).astype("<u8")
                 sign = pa.array([r.tobytes() for r in sign], pa.binary())
                 node = b.column(0).take(pa.array(at))
-                k = _packed(x, bits * passes, seed + 1)
+                k = _packed(x - centres[d] if centres and d in centres else x, bits * passes, seed + 1)
                 words = bits // 64
                 for p in range(passes):
                     # dimensions sort apart, as do passes
@@ -119,13 +158,19 @@ def _signs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, _SIGN_WORDS).astype(U)
 
 
-def candidates(nodes: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of nodes that are window neighbours in some pass and whose signatures are close."""
+def candidates(nodes: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, bits: int = BITS, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of nodes that are window neighbours in some pass and whose signatures are close.
+
+    Without passes, plan() sets their number and the centres; given passes hash the vectors as they are.
+    """
+    centres = None
+    if passes is None:
+        passes, centres = plan(nodes, threshold, bits, window)
     total = 64 * _SIGN_WORDS
     p = float(np.arccos(np.clip(threshold, -1, 1)) / np.pi)
     most = int(np.ceil(total * p + 5 * np.sqrt(total * max(p * (1 - p), 1.0 / total))))
     spark = nodes.sparkSession
-    rows = keys(nodes, passes, bits, seed)
+    rows = keys(nodes, passes, bits, seed, centres)
     order = ["pass", "dim", *[f"key{w}" for w in range(bits // 64)], "node"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
