@@ -191,8 +191,9 @@ def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOP = "18446744073709551615::UHUGEINT"
 ROUTES_SQL = f"""SELECT node_id, number, n, (number::UHUGEINT * step)::VARCHAR::DECIMAL(20,0) AS lo, CASE WHEN number = n - 1 THEN {_TOP} ELSE (number + 1)::UHUGEINT * step - 1 END::VARCHAR::DECIMAL(20,0) AS hi, step
 FROM (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS number, count(*) OVER () AS n, {_TOP} // (count(*) OVER ())::UHUGEINT + 1 AS step FROM ({NODES_SQL}) WHERE state = 1)"""
-#: Order keys spread over the unsigned 64-bit space.
+#: Order keys spread over the unsigned 64-bit space: key * STEP mod 2^64.
 STEP = 1229782938247303
+BLOCKS_SQL = f"SELECT o_orderkey, o_orderkey::UHUGEINT * {STEP} % 18446744073709551616::UHUGEINT AS block FROM orders"
 
 
 @query("route_ranges", f'SELECT node_id, number, n AS nodes, lo AS "start", hi AS "end" FROM ({ROUTES_SQL})')
@@ -201,10 +202,10 @@ def route_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey").cast("decimal(12,0)") * F.lit(STEP).cast("decimal(16,0)")).cast("decimal(20,0)").alias("block_id"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", binary.times64(F.col("o_orderkey").cast(binary.U64), STEP).alias("block_id"))
 
 
-@query("routed_blocks", f"""WITH r AS ({ROUTES_SQL}), b AS (SELECT o_orderkey, o_orderkey::UHUGEINT * {STEP} AS block FROM orders), k AS (SELECT unnest(range(3)) AS k),
+@query("routed_blocks", f"""WITH r AS ({ROUTES_SQL}), b AS ({BLOCKS_SQL}), k AS (SELECT unnest(range(3)) AS k),
 x AS (SELECT o_orderkey, k, (block // (SELECT any_value(step) FROM r) + k)::BIGINT % (SELECT count(*) FROM r) AS number FROM b, k)
 SELECT o_orderkey, (k + 1)::INT AS rank, node_id, k = 0 AS is_primary FROM x JOIN r USING (number)""")
 def routed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +213,7 @@ def routed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("o_orderkey", "rank", "node_id", "is_primary")
 
 
-@query("route_owners", f"""WITH r AS ({ROUTES_SQL}), b AS (SELECT o_orderkey, o_orderkey::UHUGEINT * {STEP} AS block FROM orders), k AS (SELECT unnest(range(2)) AS k),
+@query("route_owners", f"""WITH r AS ({ROUTES_SQL}), b AS ({BLOCKS_SQL}), k AS (SELECT unnest(range(2)) AS k),
 x AS (SELECT o_orderkey, k, (block // (SELECT any_value(step) FROM r) + k)::BIGINT % (SELECT count(*) FROM r) AS number FROM b, k)
 SELECT o_orderkey, max(node_id) FILTER (k = 0) AS owner, bool_or(k = 0 AND node_id = '{SELF}') AS owns, bool_or(node_id = '{SELF}') AS involved FROM x JOIN r USING (number) GROUP BY 1""")
 def route_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
