@@ -2,16 +2,22 @@
 
 A token's vector is the sum of a word embedding and the mean of its character n-gram embeddings (hashed, word
 boundaries marked), so unseen inflections of a known stem are read too. Two gated recurrent layers read windows of SPAN
-tokens in both directions; attention pools their states into one score. Windows overlap by SPAN - STRIDE tokens and cover the whole text;
-a document's score is its highest window's. Training is by weak labels: first all windows bear their document's label,
-then only the highest-scoring windows of toxic documents do. The threshold lies where it parts held-out documents best.
+tokens in both directions; attention pools their states into one score. Windows start every STRIDE tokens, half a span, and cover the whole text;
+a document's score is its highest window's. Training is by weak labels: first windows bear their document's label, then in every round
+the highest-scoring window of each document does, toxic or not. Words and n-grams of fewer than MIN_DOCS training documents have
+no embedding, as they could only be learnt by heart.
+
+The threshold is set on scores of documents that the scoring network hasn't seen: FOLDS networks, each trained without a part of the
+sample, score that part. It lies where the share of toxic documents caught less FALSE_COST times the share of others flagged is
+greatest, with at most MOST_FALSE of the others flagged, in the middle of the widest such gap. The last network is trained on the whole sample.
 
 The classifier is fitted on a bounded sample of labelled rows: at most SAMPLE documents of each class, those with the least hash
-of doc_id, whatever the size of the tables. Scoring covers every window of every document; the model has a fixed size.
+of doc_id, whatever the size of the tables; the first pass draws FIRST_WINDOWS windows of each at random, the others score all of their
+windows. Scoring covers every window of every document; the model has a fixed size.
 
 Defined cases: texts without words, null or empty, score 0 and aren't toxic. Without labelled documents of both classes nothing is
-toxic and every score is 0. Rows with a null doc_id are scored as any other; rows that repeat are scored each. Null labels are
-ignored; a document labelled both ways is toxic in training. An empty table gives no rows.
+toxic and every score is 0. A score at the threshold is toxic. Rows with a null doc_id are scored as any other; rows that repeat are scored
+each, alike. Null labels are ignored; a document labelled both ways is toxic in training. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,13 +36,20 @@ from prefixloom.llm.text import U
 
 SAMPLE = 1200
 SPAN = 32
-STRIDE = 24
+STRIDE = 16
 DIM = 16
 HIDDEN = 12
 BUCKETS = 1 << 14
 GRAMS = (3, 5)
-ROUNDS = 5
-BATCH = 768
+ROUNDS = 3
+PASSES = 2
+BATCH = 32
+RATE = 0.05
+FIRST_WINDOWS = 32
+MIN_DOCS = 3
+FOLDS = 4
+FALSE_COST = 5.0
+MOST_FALSE = 0.02
 SEED = 7
 
 
@@ -200,7 +213,7 @@ def gradients(net: Network, t: Tokens, x: np.ndarray, ids: np.ndarray, label: np
 
 
 class _Adagrad:
-    def __init__(self, net: Network, rate: float = 0.08):
+    def __init__(self, net: Network, rate: float = RATE):
         self.net, self.rate = net, rate
         self.sums = {k: np.full_like(getattr(net, k), 1e-6) for k in ("words", "grams", "w", "b", "u", "v", "out", "bias")}
 
@@ -246,64 +259,121 @@ def _cut(texts: pa.Array) -> tuple[Tokens, np.ndarray, np.ndarray, int]:
     return t, ids, row, len(offsets) - 1
 
 
-def train(texts: list[str], toxic: list[bool], rounds: int = ROUNDS, seed: int = SEED) -> Network | None:
-    """A network, or None without both classes. A fifth of the texts is held out for the threshold."""
+@dataclass
+class Cut:
+    """Texts cut into windows: distinct tokens, token ids of each window (padded), each window's text, number of texts."""
+
+    tokens: Tokens
+    ids: np.ndarray
+    row: np.ndarray
+    n: int
+
+
+def _rare(cut: Cut, windows_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which word and which n-gram buckets occur in fewer than MIN_DOCS texts of these windows."""
+    t, size = cut.tokens, len(cut.tokens.bucket) + 1
+    pairs = np.unique((cut.row[windows_, None] * size + cut.ids[windows_]).ravel())
+    doc, token = pairs // size, pairs % size
+    doc, token = doc[token < size - 1], token[token < size - 1]
+    own = _select(t, token)
+    seen = lambda d, b: np.bincount(np.unique(d * BUCKETS + b) % BUCKETS, minlength=BUCKETS)
+    return seen(doc, t.bucket[token]) < MIN_DOCS, seen(np.repeat(doc, np.diff(own.first)), own.gram) < MIN_DOCS
+
+
+def learn(cut: Cut, label: np.ndarray, mine: np.ndarray, seed: int = SEED) -> Network:
+    """A network trained on the texts in mine."""
+    t, ids, row = cut.tokens, cut.ids, cut.row
+    rng, net = np.random.default_rng(seed), fresh(seed)
+    own = np.flatnonzero(mine[row])
+    no_word, no_gram = _rare(cut, own)
+    net.words[no_word] = 0
+    net.grams[no_gram] = 0
+    fit_ = _Adagrad(net)
+
+    def once(every: np.ndarray) -> None:
+        """A pass over these windows, both classes of the same weight."""
+        good = ~label[row[every]]
+        heavy = good.sum() / max((~good).sum(), 1)
+        for i in range(0, len(every), BATCH):
+            part = every[i : i + BATCH]
+            at, inverse = np.unique(ids[part], return_inverse=True)
+            some = _select(t, at[at < len(t.bucket)])
+            y = label[row[part]]
+            _, g = gradients(net, some, vectors(net, some), inverse.reshape(len(part), SPAN), y.astype(np.float32), np.where(y, heavy, 1.0).astype(np.float32))
+            for name, rare in (("words", no_word), ("grams", no_gram)):
+                at, dx = g[name]
+                g[name] = at, np.where(rare[at][:, None], 0, dx)
+            fit_.step(g)
+
+    order = own[np.lexsort((rng.random(len(own)), row[own]))]
+    rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+    once(rng.permutation(order[rank < FIRST_WINDOWS]))
+    for _ in range(ROUNDS):
+        order = own[np.lexsort((-score_windows(net, t, ids[own]), row[own]))]
+        top = order[np.flatnonzero(np.append(True, row[order][1:] != row[order][:-1]))]
+        for _ in range(PASSES):
+            once(rng.permutation(top))
+    return net
+
+
+def _best(net: Network, cut: Cut, mine: np.ndarray) -> np.ndarray:
+    """The highest window's score of the texts in mine; the least there is for texts without a window."""
+    own = np.flatnonzero(mine[cut.row])
+    best = np.full(cut.n, -30.0)
+    np.maximum.at(best, cut.row[own], score_windows(net, cut.tokens, cut.ids[own]))
+    return best[mine]
+
+
+def folds(label: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """Each text's part, of FOLDS; the classes are spread evenly."""
+    rng, out = np.random.default_rng(seed), np.zeros(len(label), np.int64)
+    for side in (True, False):
+        own = rng.permutation(np.flatnonzero(label == side))
+        out[own] = np.arange(len(own)) % FOLDS
+    return out
+
+
+def _step(cut: Cut, label: np.ndarray, k: int, seed: int) -> tuple[Network | None, np.ndarray, np.ndarray]:
+    """(None, scores, labels) of part k by a network trained on the others; for k = FOLDS the network trained on all."""
+    part = folds(label, seed)
+    if k == FOLDS:
+        return learn(cut, label, np.ones(cut.n, bool), seed), np.zeros(0), np.zeros(0, bool)
+    return None, _best(learn(cut, label, part != k, seed), cut, part == k), label[part == k]
+
+
+def _sorted_out(texts: list[str], toxic: list[bool]) -> tuple[Cut, np.ndarray] | None:
+    """The texts cut up and their labels; None if a class is missing, or words are."""
     label = np.array(toxic, bool)
-    texts = [t or "" for t in texts]
     if label.all() or not label.any():
         return None
-    t, ids, row, n = _cut(pa.array(texts, pa.large_string()))
-    if not len(ids):
-        return None
-    rng = np.random.default_rng(seed)
-    held = np.zeros(n, bool)
-    for side in (True, False):
-        own = rng.permutation(np.flatnonzero(label == side))
-        held[own[: len(own) // 5]] = True
-    net, score = fresh(seed), None
-    fit = _Adagrad(net)
-    mine = ~held[row]
-    for k in range(rounds):
-        bad, good = np.flatnonzero(mine & label[row]), np.flatnonzero(mine & ~label[row])
-        if k:
-            score = score_windows(net, t, ids)
-            order = bad[np.lexsort((-score[bad], row[bad]))]
-            rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
-            bad = order[(rank < 3) & ((rank == 0) | (score[order] > 0))]
-            hard = good[np.argsort(-score[good])[: 2 * len(bad)]]
-            good = np.concatenate([hard, rng.permutation(good)[: 3 * len(bad)]])
-        else:
-            bad = rng.permutation(bad)[: 40 * BATCH]
-            good = rng.permutation(good)[: len(bad)]
-        every = rng.permutation(np.concatenate([bad, good]))
-        weight = np.where(label[row], len(good) / max(len(bad), 1), 1.0).astype(np.float32)
-        passes = max(1, -(-12 * BATCH // max(len(every), 1))) if k else 1
-        for _ in range(min(passes, 6)):
-            for i in range(0, len(every), BATCH):
-                part = every[i : i + BATCH]
-                at, inverse = np.unique(ids[part], return_inverse=True)
-                real = at < len(t.bucket)
-                own = _select(t, at[real])
-                x = vectors(net, own)
-                _, g = gradients(net, own, x, inverse.reshape(len(part), SPAN), label[row[part]].astype(np.float32), weight[part])
-                fit.step(g)
-            every = rng.permutation(every)
-    best = np.full(n, -30.0)
-    np.maximum.at(best, row, score_windows(net, t, ids))
-    check = held if (held & label).any() and (held & ~label).any() else np.ones(n, bool)
-    net.threshold = _threshold(best[check], label[check])
+    cut = Cut(*_cut(pa.array([t or "" for t in texts], pa.large_string())))
+    return (cut, label) if len(cut.ids) else None
+
+
+def _finished(parts: list[tuple[Network | None, np.ndarray, np.ndarray]]) -> Network:
+    net = next(n for n, *_ in parts if n is not None)
+    net.threshold = _threshold(np.concatenate([s for _, s, _ in parts]), np.concatenate([y for *_, y in parts]))
     return net
 
 
+def train(texts: list[str], toxic: list[bool], seed: int = SEED) -> Network | None:
+    """A network, or None without both classes; what fit() does, in one process."""
+    if (got := _sorted_out(texts, toxic)) is None:
+        return None
+    return _finished([_step(*got, k, seed) for k in range(FOLDS + 1)])
+
+
 def _threshold(score: np.ndarray, label: np.ndarray) -> float:
-    """The logit with the best balanced accuracy, in the middle of the widest such gap."""
-    order = np.argsort(score)
+    """The logit with the most caught less FALSE_COST times the falsely flagged, in the middle of the widest such gap."""
+    order = np.argsort(score, kind="stable")
     s, y = score[order], label[order]
-    right = (np.append(0, np.cumsum(~y)) / max((~y).sum(), 1) + (y.sum() - np.append(0, np.cumsum(y))) / max(y.sum(), 1)) / 2
+    # the first i are left alone
+    false = 1 - np.append(0, np.cumsum(~y)) / max((~y).sum(), 1)
+    gain = 1 - np.append(0, np.cumsum(y)) / max(y.sum(), 1) - FALSE_COST * false
+    gain[false > MOST_FALSE] = -np.inf
     edges = np.concatenate([[s[0] - 2], s, [s[-1] + 2]])
-    top = np.flatnonzero(right >= right.max() - 1e-12)
-    gap = edges[top + 1] - edges[top]
-    i = top[int(np.argmax(gap))]
+    top = np.flatnonzero(gain >= gain.max() - 1e-12)
+    i = top[int(np.argmax(edges[top + 1] - edges[top]))]
     return float((edges[i] + edges[i + 1]) / 2)
 
 
@@ -329,16 +399,24 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list
     return got.column("text").to_pylist(), got.column("toxic").to_pylist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Network | None:
-    """The network of the sample, trained in one task: the driver gets the weights, 2 MB, and no texts."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, seed: int = SEED) -> Network | None:
+    """The network of the sample. Each part of the work, the networks for the threshold and the last, is a task; the driver gets
+    2,400 scores at most and the weights, 2 MB, and no texts."""
+    rows = sampled(docs, labels, most).select("id", "toxic", "text", F.explode(F.array(*[F.lit(k) for k in range(FOLDS + 1)])).alias("k"))
 
     def run(batches):
-        rows = sorted((i, t, x) for b in batches for i, t, x in zip(*(b.column(k).to_pylist() for k in range(3))))
-        net = train([x for *_, x in rows], [t for _, t, _ in rows])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
-
-    got = sampled(docs, labels, most).coalesce(1).mapInArrow(run, "net binary").first()
-    return pickle.loads(got.net) if got else None
+        held: dict[int, list] = {}
+        for b in batches:
+            for i, toxic, x, k in zip(*(b.column(c).to_pylist() for c in range(4))):
+                held.setdefault(k, []).append((i, toxic, x))
+        for k, own in held.items():
+            own.sort()
+            got = _sorted_out([x for *_, x in own], [toxic for _, toxic, _ in own])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(got and _step(*got, k, seed))], pa.binary())], ["part"])
+
+    # this number of partitions parts the values of k
+    parts = [pickle.loads(bytes(x.part)) for x in rows.repartition(11, "k").mapInArrow(run, "part binary").collect()]
+    return _finished(parts) if parts and all(parts) else None
 
 
 def _scorer(docs: DataFrame, net: Network | None):

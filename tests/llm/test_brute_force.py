@@ -252,6 +252,8 @@ def test_language_accuracy(spark):
     assert right[0] > 0.9 and right[1] < 0.08
 
 
+# Half of the 14 toxic documents held out here, and 11 of the 37 trained on, are in three languages of which each has two to five: 8 of 14 are within reach.
+@pytest.mark.xfail(reason="8 of 14 are caught; the labels of this scale hold too few toxic documents of three languages", strict=False)
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
@@ -263,6 +265,37 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(x.toxic for x in bad) >= 0.8 * len(bad) and sum(x.toxic for x in good) <= 0.05 * len(good)
 
 
+@pytest.mark.parametrize("seed", [7, 8, 9])
+def test_toxicity_of_english_on_held_out_labels(spark, seed):
+    # the same documents and split as above, in the language that has enough of them to learn
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
+    net = toxicity.fit(docs, labels.where(~held), seed=seed)
+    truth = labels.where(held).select("doc_id", F.col("toxic").alias("label")).join(docs.select("doc_id", "lang"), "doc_id")
+    got = toxicity.score(docs, net).join(truth, "doc_id").select("toxic", "label", "lang").collect()
+    bad = [x for x in got if x.label == 1 and x.lang == "en"]
+    good = [x for x in got if x.label == 0]
+    assert sum(x.toxic for x in bad) >= 0.8 * len(bad) and sum(x.toxic for x in good) <= 0.05 * len(good)
+
+
+def test_toxicity_of_all_languages_on_held_out_labels(spark):
+    sf = SF.replace("0.01", "0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
+    net = toxicity.fit(docs, labels.where(~held))
+    truth = labels.where(held).select("doc_id", F.col("toxic").alias("label"))
+    got = toxicity.score(docs.join(truth, "doc_id"), net).join(truth, "doc_id").select("toxic", "label").collect()
+    bad = [x for x in got if x.label == 1]
+    good = [x for x in got if x.label == 0]
+    assert sum(x.toxic for x in bad) >= 0.8 * len(bad) and sum(x.toxic for x in good) <= 0.05 * len(good)
+
+
+def test_fitting_in_tasks_gives_what_one_process_does(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").where("doc_id % 3 = 0")
+    a, b = toxicity.fit(docs, labels), toxicity.train(*toxicity.sample(docs, labels))
+    assert a.threshold == pytest.approx(b.threshold, abs=1e-3) and np.allclose(a.words, b.words, atol=1e-3)
+
+
 def test_gradients_against_differences():
     net = toxicity.fresh(1)
     t, ids, row, _ = toxicity._cut(pa.array(["one two three four five six", "seven two nine"], pa.large_string()))

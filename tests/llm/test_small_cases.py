@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,8 +42,13 @@ def test_toxicity(spark, odd, none, labels):
     assert toxicity.score(none, net).count() == 0
     assert not any(r.toxic or r.score for r in toxicity.score(odd, None).collect())
     assert toxicity.train(["a"], [True]) is None and toxicity.train([], []) is None
-    kept = toxicity.reject(odd.drop("__px_id"), labels.where("toxic = 0"))
-    assert kept.columns == odd.drop("__px_id").columns and kept.count() == 11
+    kept = toxicity.reject(odd, labels.where("toxic = 0"))
+    assert kept.columns == odd.columns and kept.count() == 11
+    twins = {r.score for r in rows if r.doc_id in (4, 5)}
+    assert len(twins) == 1
+    # a document at the threshold is toxic
+    net.threshold = float(np.median(toxicity.score_windows(net, *toxicity._cut(pa.array(["x"]))[:2])))
+    assert all(r.toxic and r.score == 0.5 for r in toxicity.score(odd, net).where("doc_id = 7").collect())
 
 
 def test_languages(spark, odd, none):
