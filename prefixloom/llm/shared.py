@@ -59,43 +59,67 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 def grouped(df: DataFrame, keys: list[str], order: list[str], fn, schema: str, rows_at_once: int = 200_000) -> DataFrame:
     """Run fn over pyarrow tables made of whole groups of `keys` (non-null), sorted by keys and order.
 
-    Many small groups share one call, so fn can be vectorised; a group is never split.
+    Many small groups share one call, so fn can be vectorised; a group is never split. It is for groups whose size the data's nature
+    bounds: while a group is longer than a call, its end is looked for each time that what is held has doubled, so time grows with its length.
     """
     import pyarrow as pa
-    import pyarrow.compute  # noqa: F401
-
-    def cut(t: pa.Table) -> int:
-        last = t.num_rows - 1
-        lo = 0
-        for k in keys:
-            col = t.column(k)
-            same = pa.compute.equal(col, col[last]).to_numpy()
-            other = (~same).nonzero()[0]
-            if len(other):
-                lo = max(lo, int(other[-1]) + 1)
-        return lo
 
     def run(batches):
-        held, n = [], 0
+        held, n, goal = [], 0, rows_at_once
         for b in batches:
             if b.num_rows == 0:
                 continue
             held.append(b)
             n += b.num_rows
-            if n < rows_at_once:
+            if n < goal:
                 continue
             t = pa.Table.from_batches(held)
-            at = cut(t)
+            at = _last_group(t, keys)
             if at:
                 yield from fn(t.slice(0, at).combine_chunks()).to_batches()
             held = t.slice(at).to_batches()
             n = t.num_rows - at
+            goal = max(rows_at_once, 2 * n)
         if held:
             yield from fn(pa.Table.from_batches(held).combine_chunks()).to_batches()
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def _last_group(t, keys: list[str]) -> int:
+    """The row at which the last group of a sorted table begins."""
+    import pyarrow.compute as pc
+
+    at, last = 0, t.num_rows - 1
+    for k in keys:
+        other = (~pc.equal(t.column(k), t.column(k)[last]).to_numpy()).nonzero()[0]
+        if len(other):
+            at = max(at, int(other[-1]) + 1)
+    return at
+
+
+def streamed(df: DataFrame, keys: list[str], order: list[str], fn, schema: str, rows_at_once: int = 200_000) -> DataFrame:
+    """Run fn over pyarrow tables in the order of keys and order, wherever a group is cut: groups may be of any size, a task holds one piece.
+
+    fn(table, held) -> (table, held): held is what it wants to know of the rows before, None at first.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        pieces, n, held = [], 0, None
+        for b in batches:
+            pieces.append(b)
+            n += b.num_rows
+            if n >= rows_at_once:
+                out, held = fn(pa.Table.from_batches(pieces).combine_chunks(), held)
+                yield from out.to_batches()
+                pieces, n = [], 0
+        if n:
+            yield from fn(pa.Table.from_batches(pieces).combine_chunks(), held)[0].to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def small_ids(df: DataFrame, column: str, most: int = 4_000_000):
     """Sorted numpy array of the column's distinct values if there are at most `most` (8 bytes each), else None."""
     import numpy as np
