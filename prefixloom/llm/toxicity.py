@@ -16,7 +16,7 @@ of doc_id, whatever the size of the tables; the first pass draws FIRST_WINDOWS w
 windows. Scoring covers every window of every document; the model has a fixed size.
 
 Defined cases: texts without words, null or empty, score 0 and aren't toxic. Without labelled documents of both classes nothing is
-toxic and every score is 0. A score at the threshold is toxic. Rows with a null doc_id are scored as any other; rows that repeat are scored
+toxic and every score is 0; with too few of them to hold any out the threshold is a probability of one half. A score at the threshold is toxic. Rows with a null doc_id are scored as any other; rows that repeat are scored
 each, alike. Null labels are ignored; a document labelled both ways is toxic in training. An empty table gives no rows.
 """
 
@@ -143,8 +143,8 @@ def _projected(net: Network, x: np.ndarray, d: int) -> np.ndarray:
     return p
 
 
-def forward(net: Network, x: np.ndarray, ids: np.ndarray, keep: bool = False):
-    """Logits of windows ids (windows, SPAN) over distinct token vectors x; id len(x) is padding. keep: what backward needs."""
+def forward(net: Network, x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, np.ndarray, np.ndarray]:
+    """(logits, states, trace, attention, pooled states) of windows ids (windows, SPAN) over distinct token vectors x; id len(x) is padding."""
     n, h_ = len(ids), HIDDEN
     states = np.empty((SPAN, n, 2 * h_), np.float32)
     trace: list = [[None] * SPAN, [None] * SPAN]
@@ -161,8 +161,7 @@ def forward(net: Network, x: np.ndarray, ids: np.ndarray, keep: bool = False):
             z, r, gn = zr[:, :h_], zr[:, h_:], gh[:, 2 * h_ :]
             c += r * gn
             np.tanh(c, out=c)
-            if keep:
-                trace[d][t] = (h, z, r, c, gn)
+            trace[d][t] = (h, z, r, c, gn)
             h = c + z * (h - c)
             states[t, :, d * h_ : (d + 1) * h_] = h
     a = states @ net.v
@@ -171,13 +170,51 @@ def forward(net: Network, x: np.ndarray, ids: np.ndarray, keep: bool = False):
     np.exp(a, out=a)
     a /= a.sum(axis=0)
     pooled = np.einsum("tn,tnh->nh", a, states)
-    logit = pooled @ net.out + net.bias[0]
-    return (logit, states, trace, a, pooled) if keep else logit
+    return pooled @ net.out + net.bias[0], states, trace, a, pooled
+
+
+def logits(net: Network, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The logits of forward() alone. Attention and output are linear in the states, so of each state only its two products are kept;
+    they come out of the next step's multiplication. A sigmoid is a hyperbolic tangent of half its argument."""
+    n, h_ = len(ids), HIDDEN
+    turned = np.ascontiguousarray(ids.T)
+    a, o = np.zeros((SPAN, n), np.float32), np.zeros((SPAN, n), np.float32)
+    for d in (0, 1):
+        own = slice(d * h_, (d + 1) * h_)
+        p = _projected(net, x, d)
+        p[:, : 2 * h_] *= 0.5
+        u = np.concatenate([net.u[d], net.v[own, None], net.out[own, None]], axis=1)
+        u[:, : 2 * h_] *= 0.5
+        h = np.zeros((n, h_), np.float32)
+        before = -1
+        for s in range(SPAN + 1):
+            gh = h @ u
+            if before >= 0:
+                a[before] += gh[:, 3 * h_]
+                o[before] += gh[:, 3 * h_ + 1]
+            if s == SPAN:
+                break
+            before = s if d == 0 else SPAN - 1 - s
+            g = p.take(turned[before], axis=0)
+            zr, c = g[:, : 2 * h_], g[:, 2 * h_ :]
+            zr += gh[:, : 2 * h_]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            c += zr[:, h_:] * gh[:, 2 * h_ : 3 * h_]
+            np.tanh(c, out=c)
+            h -= c
+            h *= zr[:, :h_]
+            h += c
+    a[turned == len(x)] = -1e9
+    a -= a.max(axis=0)
+    np.exp(a, out=a)
+    return (a * o).sum(axis=0) / a.sum(axis=0) + net.bias[0]
 
 
 def gradients(net: Network, t: Tokens, x: np.ndarray, ids: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Loss and gradients by back-propagation through time."""
-    logit, states, trace, a, pooled = forward(net, x, ids, True)
+    logit, states, trace, a, pooled = forward(net, x, ids)
     p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     loss = float(-(weight * (label * np.log(p + 1e-9) + (1 - label) * np.log(1 - p + 1e-9))).sum() / weight.sum())
     dl = ((p - label) * weight / weight.sum()).astype(np.float32)
@@ -338,6 +375,8 @@ def _step(cut: Cut, label: np.ndarray, k: int, seed: int) -> tuple[Network | Non
     part = folds(label, seed)
     if k == FOLDS:
         return learn(cut, label, np.ones(cut.n, bool), seed), np.zeros(0), np.zeros(0, bool)
+    if len(set(label[cut.row[part[cut.row] != k]])) < 2:
+        return None, np.zeros(0), np.zeros(0, bool)
     return None, _best(learn(cut, label, part != k, seed), cut, part == k), label[part == k]
 
 
@@ -352,7 +391,8 @@ def _sorted_out(texts: list[str], toxic: list[bool]) -> tuple[Cut, np.ndarray] |
 
 def _finished(parts: list[tuple[Network | None, np.ndarray, np.ndarray]]) -> Network:
     net = next(n for n, *_ in parts if n is not None)
-    net.threshold = _threshold(np.concatenate([s for _, s, _ in parts]), np.concatenate([y for *_, y in parts]))
+    score, label = np.concatenate([s for _, s, _ in parts]), np.concatenate([y for *_, y in parts])
+    net.threshold = _threshold(score, label) if len(set(label)) > 1 else 0.0
     return net
 
 
@@ -377,9 +417,9 @@ def _threshold(score: np.ndarray, label: np.ndarray) -> float:
     return float((edges[i] + edges[i + 1]) / 2)
 
 
-def score_windows(net: Network, t: Tokens, ids: np.ndarray, at_once: int = 1024) -> np.ndarray:
+def score_windows(net: Network, t: Tokens, ids: np.ndarray, at_once: int = 2048) -> np.ndarray:
     x = vectors(net, t)
-    return np.concatenate([forward(net, x, ids[i : i + at_once]) for i in range(0, len(ids), at_once)] or [np.zeros(0, np.float32)])
+    return np.concatenate([logits(net, x, ids[i : i + at_once]) for i in range(0, len(ids), at_once)] or [np.zeros(0, np.float32)])
 
 
 def sampled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
@@ -437,10 +477,10 @@ def _scorer(docs: DataFrame, net: Network | None):
             x = vectors(net, tokens(w.data, w.start[where], w.end[where], distinct))
             best = np.full(w.row1 - w.row0, -np.inf)
             last = w.first[1:][row]
-            for i in range(0, len(start), 1024):
-                index = start[i : i + 1024, None] + np.arange(SPAN)
-                own = np.where(index < last[i : i + 1024, None], ids[np.minimum(index, len(ids) - 1)], len(distinct))
-                np.maximum.at(best, row[i : i + 1024], forward(net, x, own).astype(float))
+            for i in range(0, len(start), 2048):
+                index = start[i : i + 2048, None] + np.arange(SPAN)
+                own = np.where(index < last[i : i + 2048, None], ids[np.minimum(index, len(ids) - 1)], len(distinct))
+                np.maximum.at(best, row[i : i + 2048], logits(net, x, own).astype(float))
             score[w.row0 : w.row1] = np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(best - net.threshold, -30, 30))), 0)
         return score, many
 
