@@ -108,3 +108,25 @@ def ring_hash(s: Column) -> Column:
     each = F.when(F.octet_length(raw) > 0, each).otherwise(F.array().cast("array<bigint>"))
     h = F.aggregate(each, F.lit("14695981039346656037").cast(U64), lambda a, b: times64(unsigned64(signed64(a).bitwiseXOR(b)), 0x100000001B3))
     return murmur_finaliser(h)
+
+
+def bit_at(u: Column, depth: Column) -> Column:
+    """The bit of a DECIMAL(20,0) at this depth, the highest at 0."""
+    return F.call_function("shiftrightunsigned", signed64(u), (F.lit(63) - depth).cast("int")).bitwiseAND(F.lit(1)).cast("int")
+
+
+def mask_prefix(u: Column, length: Column) -> Column:
+    """u with all bits beyond the first `length` cleared."""
+    mask = F.call_function("shiftleft", F.lit(-1).cast("bigint"), (F.lit(64) - length).cast("int"))
+    return F.when(length <= 0, F.lit(0).cast(U64)).otherwise(unsigned64(signed64(u).bitwiseAND(F.when(length >= 64, F.lit(-1).cast("bigint")).otherwise(mask))))
+
+
+def trailing_zeros(u: Column) -> Column:
+    """How many of the lowest bits are 0; 64 for 0."""
+
+    def count(s: Column) -> Column:
+        # all below the lowest one
+        return F.when(s == 0, 64).otherwise(F.bit_count((s.bitwiseAND(F.bitwise_not(s) + F.lit(1))) - F.lit(1)))
+
+    # the lowest bit alone may be -2^63, whose negation and predecessor overflow: it has 63 zeros
+    return let(signed64(u), lambda s: F.when(s == F.lit(-(1 << 63)).cast("bigint"), 63).otherwise(count(s)).cast("int"))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from prefixloom.functions.binary import U64, le, let, low_hex, text, uint
 
-# the format's domain tags
-SCOPE_TAG, PREFIX_TAG, OBJECT_TAG = (bytes.fromhex("7a65726f6b762e6b7663616368652e" + x + "2e763100") for x in ("73636f7065", "707265666978", "6f626a656374"))
+#: Digests are tagged with a domain, so that identities of different ones never meet. Whoever shares a cache gives its domain.
+DOMAIN = "kvcache"
 ROOT = bytes(32)
 #: Chunks folded at once: the blob of digests is copied once per this many chunks, not once per chunk.
 STRIDE = 256
@@ -40,6 +40,11 @@ class Scope:
         return {k: F.lit(v) for k, v in asdict(self).items()}
 
 
+def tag(kind: str, domain: str = DOMAIN) -> bytes:
+    """The domain tag of a scope, prefix or object."""
+    return f"{domain}.{kind}.v1\0".encode()
+
+
 def scope_problem(c: dict[str, Column]) -> Column:
     """Why a scope is invalid, null if it is valid."""
     rules = [(c["version"] != 1, "version"), (c["layout_version"] != 1, "layout version")]
@@ -52,9 +57,9 @@ def scope_problem(c: dict[str, Column]) -> Column:
     return out
 
 
-def scope_digest(c: dict[str, Column]) -> Column:
+def scope_digest(c: dict[str, Column], domain: str = DOMAIN) -> Column:
     """BINARY digest of a scope given as columns."""
-    parts = [F.lit(SCOPE_TAG), le(c["version"], 2), text(c["namespace"]), text(c["model_id"]), text(c["model_revision"]), text(c["adapter_id"]), le(c["chunk_size"], 4), le(c["layout_version"], 2), text(c["dtype"])]
+    parts = [F.lit(tag("scope", domain)), le(c["version"], 2), text(c["namespace"]), text(c["model_id"]), text(c["model_revision"]), text(c["adapter_id"]), le(c["chunk_size"], 4), le(c["layout_version"], 2), text(c["dtype"])]
     parts += [le(c[k], 4) for k in ("layers", "heads", "head_dim", "tp_world_size", "tp_rank")]
     return F.unhex(F.sha2(F.concat(*parts), 256))
 
@@ -69,7 +74,7 @@ def packed(tokens: Column) -> Column:
     return F.unhex(F.array_join(F.transform(tokens, lambda t: F.hex(le(t, 4))), ""))
 
 
-def prefix_digests(scope: Column, tokens: Column, chunk: int, complete_only: bool = True) -> Column:
+def prefix_digests(scope: Column, tokens: Column, chunk: int, complete_only: bool = True, domain: str = DOMAIN) -> Column:
     """All prefix digests of packed tokens, concatenated; a fold, as each covers the one before. Null without a chunk."""
 
     def fold(t: Column) -> Column:
@@ -79,7 +84,7 @@ def prefix_digests(scope: Column, tokens: Column, chunk: int, complete_only: boo
 
         def step(acc: Column, i: Column) -> Column:
             number = size if complete_only else le(F.least(F.lit(chunk), n / 4 - i * chunk), 4)
-            return F.concat(acc, F.unhex(F.sha2(F.concat(F.lit(PREFIX_TAG), scope, F.substring(acc, -32, 32), number, F.substring(t, i * (4 * chunk) + 1, F.lit(4 * chunk))), 256)))
+            return F.concat(acc, F.unhex(F.sha2(F.concat(F.lit(tag("prefix", domain)), scope, F.substring(acc, -32, 32), number, F.substring(t, i * (4 * chunk) + 1, F.lit(4 * chunk))), 256)))
 
         def stride(acc: Column, s: Column) -> Column:
             own = F.aggregate(F.sequence(s * STRIDE, F.least((s + 1) * STRIDE, chunks) - 1), F.substring(acc, -32, 32), step)
@@ -91,8 +96,13 @@ def prefix_digests(scope: Column, tokens: Column, chunk: int, complete_only: boo
     return let(tokens, fold)
 
 
-def object_id(scope: Column, prefix: Column, token_count: Column) -> Column:
-    return F.unhex(F.sha2(F.concat(F.lit(OBJECT_TAG), scope, prefix, le(token_count, 8)), 256))
+def object_id(scope: Column, prefix: Column, token_count: Column, domain: str = DOMAIN) -> Column:
+    return F.unhex(F.sha2(F.concat(F.lit(tag("object", domain)), scope, prefix, le(token_count, 8)), 256))
+
+
+def adapter_id(lora: Column, salt: Column) -> Column:
+    """The adapter of a scope that keeps fine-tuned models and salted tenants apart."""
+    return F.concat(F.lit("lora:"), F.coalesce(lora.cast("string"), F.lit("")), F.lit("|salt:"), F.coalesce(salt.cast("string"), F.lit("")))
 
 
 def block_id(object_: Column) -> Column:
@@ -106,14 +116,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def chunk_keys(prompts: DataFrame, scope: Column, chunk: int, tokens: Column, complete_only: bool = True) -> DataFrame:
+def chunk_keys(prompts: DataFrame, scope: Column, chunk: int, tokens: Column, complete_only: bool = True, domain: str = DOMAIN) -> DataFrame:
     """A row a chunk: prompts' columns less the text, and (idx, token_begin, token_end, prefix_digest, object_id) with binary digests.
 
     scope: binary digest; tokens: packed. Prompts without a chunk give no rows.
     """
     keep = prompts.columns
     x = prompts.withColumns({"__tokens": tokens, "__scope": scope})
-    x = x.withColumns({"__n": (F.octet_length("__tokens") / 4).cast("bigint"), "__digests": prefix_digests(F.col("__scope"), F.col("__tokens"), chunk, complete_only)})
+    x = x.withColumns({"__n": (F.octet_length("__tokens") / 4).cast("bigint"), "__digests": prefix_digests(F.col("__scope"), F.col("__tokens"), chunk, complete_only, domain)})
     # outer: a plain explode has a filter inferred on its input, which would be pushed below and fold twice
     x = x.select(*keep, "__scope", "__n", "__digests", F.explode_outer(F.sequence(F.lit(0), (F.octet_length("__digests") / 32).cast("int") - 1)).alias("idx")).where("idx is not null")
     x = x.withColumns({
@@ -121,7 +131,7 @@ def chunk_keys(prompts: DataFrame, scope: Column, chunk: int, tokens: Column, co
         "token_end": F.least((F.col("idx").cast("bigint") + 1) * chunk, F.col("__n")),
         "prefix_digest": F.substring("__digests", F.col("idx") * 32 + 1, F.lit(32)),
     })
-    x = x.withColumn("object_id", object_id(F.col("__scope"), F.col("prefix_digest"), F.col("token_end")))
+    x = x.withColumn("object_id", object_id(F.col("__scope"), F.col("prefix_digest"), F.col("token_end"), domain))
     return x.select(*keep, F.col("__scope").alias("scope_digest"), "idx", "token_begin", "token_end", "prefix_digest", "object_id")
 
 

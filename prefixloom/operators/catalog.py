@@ -28,7 +28,7 @@ def prune(state: DataFrame, now: Column, ttl_s: int = TOMBSTONE_TTL_S) -> DataFr
 
 
 def locations(state: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Live locations with the nodes' present addresses, '' for unknown nodes, in the order of node and tier."""
+    """Live locations with the nodes' present addresses, '' for unknown nodes. As a table they have no order; a list of one block's is by node and tier."""
     live = state.where(F.col("kind") == UPSERT)
     return live.join(nodes.select("node_id", "addr"), "node_id", "left").withColumn("addr", F.coalesce("addr", F.lit("")))
 

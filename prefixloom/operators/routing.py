@@ -88,8 +88,52 @@ def ring(nodes: DataFrame, replicas: int = REPLICAS) -> DataFrame:
     return x.select(ring_hash(F.concat("node_id", F.lit("#"), F.col("r").cast("string"))).alias("hash"), "node_id")
 
 
+def ring_successors(points: DataFrame, n: int) -> DataFrame:
+    """(hash, node_id): each point with the list of the first n distinct nodes from it on, round the circle.
+
+    One pass over the ring from its end, as a point's list is its own node and then the next point's list without it. A ring is a
+    dimension of nodes times replicas; it is read in one task, in order, and a task holds its nodes and hashes.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        t = pa.Table.from_batches(list(batches))
+        if not t.num_rows:
+            return
+        nodes = t.column("node_id").to_pylist()
+        after: list[str] = []
+        out: list[list[str]] = [[]] * len(nodes)
+        for _ in range(2):  # the second time round the list at the end is known
+            for i in range(len(nodes) - 1, -1, -1):
+                after = [nodes[i], *[x for x in after if x != nodes[i]]][:n]
+                out[i] = after
+        yield pa.RecordBatch.from_arrays([t.column("hash").combine_chunks(), pa.array(out, pa.list_(pa.string()))], ["hash", "node_id"])
+
+    # of equal hashes the lesser node id is first, and the one that is found
+    return points.select("hash", "node_id").coalesce(1).sortWithinPartitions("hash", "node_id").mapInArrow(run, f"hash {U64}, node_id array<string>").dropDuplicates(["hash"]) if n > 1 else points
+
+
+def locate_ring_n(blocks: DataFrame, block: str, points: DataFrame, n: int) -> DataFrame:
+    """blocks with (rank, node_id): the first n distinct nodes clockwise, all there are if fewer."""
+    x = locate_ring(blocks, block, ring_successors(points.groupBy("hash", "node_id").agg(F.lit(1)), max(n, 2)))
+    return x.select(*blocks.columns, F.posexplode(F.slice("node_id", 1, n)).alias("rank", "node_id")).withColumn("rank", F.col("rank") + 1)
+
+
+def route_version(history: DataFrame) -> DataFrame:
+    """(version): how many changes of the history (node_id, seq, state, addr) altered the routes."""
+    from prefixloom.operators import catalog
+
+    return catalog.route_affecting(history).agg(F.count(F.when(F.col("reroutes"), 1)).alias("version"))
+
+
+def routed(blocks: DataFrame, block: str, routes: DataFrame, version: DataFrame, candidates: int = 1) -> DataFrame:
+    """locate() with the version of the routes, by which a client knows when what it keeps is stale."""
+    return locate(blocks, block, routes, candidates).crossJoin(F.broadcast(version))
+
+
 def locate_ring(blocks: DataFrame, block: str, points: DataFrame) -> DataFrame:
-    """blocks with the node of the first point at or after the block's hash, round the circle.
+    """blocks with the node of the first point at or after the block's hash, round the circle. A point's node may be a list, too.
 
     An as-of join without a self-join: points and blocks sorted together in one window, cut into 4,096 slices of the circle, so
     that no task holds all; slices get the first point of the next that has one.
@@ -98,7 +142,7 @@ def locate_ring(blocks: DataFrame, block: str, points: DataFrame) -> DataFrame:
     h = murmur_finaliser(F.col(block).cast(U64))
     slice_ = F.expr("cast(__h div 4503599627370496BD as int)")
     one = points.select(F.col("hash").alias("__h"), F.col("node_id").alias("__node"), *[F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in keep]).withColumn("__s", slice_)
-    two = blocks.select(h.alias("__h"), F.lit(None).cast("string").alias("__node"), *keep).withColumn("__s", slice_)
+    two = blocks.select(h.alias("__h"), F.lit(None).cast(points.schema["node_id"].dataType).alias("__node"), *keep).withColumn("__s", slice_)
     w = Window.partitionBy("__s").orderBy("__h", F.col("__node").isNull()).rowsBetween(0, Window.unboundedFollowing)
     x = one.unionAll(two).withColumn("__is_point", F.col("__node").isNotNull()).withColumn("__next", F.first("__node", ignorenulls=True).over(w))
     # points of equal hash: the lesser node id is first on the ring

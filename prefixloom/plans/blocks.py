@@ -74,10 +74,10 @@ def commit_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.visible(c, b).select("o_orderkey", "outcome")
 
 
-@query("forgotten", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("forgotten", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def forgotten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bindings (customers) that are left when those with an order are forgotten."""
-    return integrity.forget(read(spark, sf_dir, "customer").select("c_custkey"), read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    """Bindings (customers) that are left when those with a pending order are forgotten."""
+    return integrity.forget(read(spark, sf_dir, "customer").select("c_custkey"), read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from prefixloom.plans import blocks, cluster, reuse, streams  # noqa: F401
+from prefixloom.plans import blocks, cluster, reuse, store, streams  # noqa: F401
 
 FLAGSHIP = "reuse_report"

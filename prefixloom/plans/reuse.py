@@ -115,7 +115,7 @@ def transfer_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _adapter_sql() -> str:
-    tag = keys.SCOPE_TAG.hex()
+    tag = keys.tag("scope").hex()
     text = lambda e: f"{sql.le(f'octet_length(encode({e}))', 4)} || lower(hex(encode({e})))"
     head = f"'{tag}0100' || " + " || ".join(text(f"'{x}'") for x in (SCOPE.namespace, SCOPE.model_id, SCOPE.model_revision))
     tail = f"{sql.le('16', 4)} || '0100' || {text(chr(39) + SCOPE.dtype + chr(39))} || {sql.le('2', 4)} || {sql.le('2', 4)} || {sql.le('4', 4)} || {sql.le('1', 4)} || {sql.le('0', 4)}"
@@ -126,8 +126,7 @@ def _adapter_sql() -> str:
 def scope_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scope per language and source: an adapter id makes every object its own."""
     d = read(spark, sf_dir, "documents").select("lang", "source").distinct()
-    adapter = F.concat(F.lit("lora:"), F.coalesce("lang", F.lit("")), F.lit("|salt:"), F.coalesce("source", F.lit("")))
-    c = SCOPE.columns() | {"adapter_id": adapter}
+    c = SCOPE.columns() | {"adapter_id": keys.adapter_id(F.col("lang"), F.col("source"))}
     return d.where(keys.scope_problem(c).isNull()).select("lang", "source", binary.low_hex(keys.scope_digest(c)).alias("scope_digest"))
 
 

@@ -150,9 +150,30 @@ def parse_compute(rows: DataFrame, column: str = "payload") -> DataFrame:
     return _parsed(rows, problem, {"operator": piece(c, 8, n).cast("string"), "params": piece(c, n + 8, p)})
 
 
+ERROR, ACK = 3, 7
+
+
 def error_payload(message: Column) -> Column:
-    """At most 4,096 bytes of UTF-8."""
-    return F.substring(message.cast("binary"), 1, 4096)
+    """At most 4,096 bytes of UTF-8; an error that has no message is unknown."""
+    return F.substring(F.coalesce(message, F.lit("unknown error")).cast("binary"), 1, 4096)
+
+
+def error_frame(block_id: Column, message: Column) -> Column:
+    return peer_frame(F.lit(ERROR), block_id, error_payload(message))
+
+
+def ack_frame(block_id: Column) -> Column:
+    return peer_frame(F.lit(ACK), block_id, F.lit(b""))
+
+
+def parse_reply(frames: DataFrame, column: str = "frame") -> DataFrame:
+    """frames with (problem, block_id, acknowledged, error): the replies to a request. An acknowledgement has no payload."""
+    x = parse_peer(frames, column)
+    problem = F.coalesce(F.col("problem"), F.when(~F.col("kind").isin(ACK, ERROR), "kind"), F.when((F.col("kind") == ACK) & (F.octet_length("payload") > 0), "payload"))
+    x = x.withColumn("problem", problem)
+    ok = F.col("problem").isNull()
+    x = x.withColumns({"acknowledged": ok & (F.col("kind") == ACK), "error": F.when(ok & (F.col("kind") == ERROR), F.col("payload").cast("string"))})
+    return x.drop("kind", "checksum", "payload")
 
 
 def local_frame(kind: Column, flags: Column, seq: Column, payload: Column) -> Column:

@@ -3,14 +3,42 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, a temporary one of our own."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one of our own, which only a local master has in common with its tasks."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("prefixloom.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         at = "file://" + tempfile.mkdtemp(prefix="prefixloom-")
         spark.conf.set("prefixloom.checkpoint.dir", at)
     return at.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/prefixloom/{name}-{uuid.uuid4().hex}"
+    fs, at = _hadoop(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _hadoop(spark, path)
+    fs.delete(at, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: a lineage cut that outlives executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,12 +12,14 @@ from prefixloom.functions import binary, keys, kv
 from prefixloom.operators import compute
 
 GOLDEN = keys.Scope("tenant-a", "qwen2.5-7b", "abc123", "fp32", 2, 4, 8, 4, adapter_id="lora-a")
+# the domain under which the golden vectors were made
+DOMAIN = bytes.fromhex("7a65726f6b762e6b7663616368652e").decode()[:-1]
 TOKENS = [101, 2023, 2003, 1037, 3231, 102]
 
 
 def key_rows(spark, scope, tokens, complete_only=False):
     df = spark.createDataFrame([(1, tokens)], "id long, tokens array<long>")
-    x = keys.chunk_keys(df, keys.scope_digest(scope.columns()), scope.chunk_size, keys.packed(F.col("tokens")), complete_only)
+    x = keys.chunk_keys(df, keys.scope_digest(scope.columns(), DOMAIN), scope.chunk_size, keys.packed(F.col("tokens")), complete_only, DOMAIN)
     return keys.shown(x).orderBy("idx").collect()
 
 
@@ -25,8 +27,8 @@ def by_hand(scope_digest: bytes, tokens, chunk):
     prefix, out = bytes(32), []
     for b in range(0, len(tokens), chunk):
         own = tokens[b : b + chunk]
-        prefix = hashlib.sha256(keys.PREFIX_TAG + scope_digest + prefix + struct.pack(f"<I{len(own)}I", len(own), *own)).digest()
-        out.append(hashlib.sha256(keys.OBJECT_TAG + scope_digest + prefix + struct.pack("<Q", b + len(own))).hexdigest())
+        prefix = hashlib.sha256(keys.tag("prefix", DOMAIN) + scope_digest + prefix + struct.pack(f"<I{len(own)}I", len(own), *own)).digest()
+        out.append(hashlib.sha256(keys.tag("object", DOMAIN) + scope_digest + prefix + struct.pack("<Q", b + len(own))).hexdigest())
     return out
 
 
