@@ -217,11 +217,11 @@ def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", *[compute.placement(k % 2 == 0, k % 3 == 0, k % 5 == 0, m).alias(m) for m in ("hybrid", "fetch_local_only", "remote_only")])
 
 
-@query("failovers", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax < 0.04 THEN l_partkey WHEN l_discount < 0.05 THEN l_suppkey END AS got FROM lineitem")
+@query("failovers", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax < 0.04 THEN l_partkey WHEN l_discount < 0.05 THEN l_suppkey ELSE -1 END AS got FROM lineitem")
 def failovers(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = read(spark, sf_dir, "lineitem")
     got = lookup.failover(F.when(F.col("l_tax") < 0.04, F.col("l_partkey")), F.when(F.col("l_discount") < 0.05, F.col("l_suppkey")))
-    return x.select("l_orderkey", "l_linenumber", got.alias("got"))
+    return x.select("l_orderkey", "l_linenumber", F.coalesce(got, F.lit(-1)).alias("got"))
 
 
 @query("transport_checks", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber < 6 AND l_partkey <> 0 AND l_returnflag = 'R' THEN 'block id mismatch' END AS problem FROM lineitem")
@@ -321,13 +321,13 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("message_fields", """SELECT o_orderkey, o_orderkey::BIGINT AS token_count, CASE WHEN o_orderkey > 0 THEN o_orderkey + 16 END::BIGINT AS last_end, 'op' || o_orderkey AS operator, true AS acknowledged, 'node-' || o_orderkey AS node_id, 'no block ' || o_orderkey AS error, CASE WHEN o_orderkey % 4 = 0 THEN 'header' END AS problem FROM orders""")
+@query("message_fields", """SELECT o_orderkey, o_orderkey::BIGINT AS token_count, CASE WHEN o_orderkey > 0 THEN o_orderkey + 16 ELSE 0 END::BIGINT AS last_end, 'op' || o_orderkey AS operator, true AS acknowledged, 'node-' || o_orderkey AS node_id, 'no block ' || o_orderkey AS error, CASE WHEN o_orderkey % 4 = 0 THEN 'header' END AS problem FROM orders""")
 def message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same messages parsed; every fourth commit has lost its last byte, and the lookup of order 0 doesn't rise."""
     m = _messages(spark, sf_dir)
     x = m.withColumn("commit_", F.when(F.col("o_orderkey") % 4 == 0, F.substring("commit", 1, 127)).otherwise(F.col("commit")))
     x = frames.parse_commit(x, F.lit(1), "commit_").withColumnRenamed("problem", "bad").withColumn("token_count", F.coalesce("token_count", F.col("o_orderkey").cast("bigint"))).select("o_orderkey", "token_count", "bad", "lookup", "compute", "ack", "result", "error")
-    x = frames.parse_lookup(x, "lookup").select("o_orderkey", "token_count", "bad", F.element_at("candidates.token_end", -1).alias("last_end"), "compute", "ack", "result", "error")
+    x = frames.parse_lookup(x, "lookup").select("o_orderkey", "token_count", "bad", F.coalesce(F.element_at("candidates.token_end", -1), F.lit(0)).alias("last_end"), "compute", "ack", "result", "error")
     x = frames.parse_compute(x, "compute").select("o_orderkey", "token_count", "bad", "last_end", "operator", "ack", "result", F.col("error").alias("failure"))
     x = frames.parse_reply(x, "ack").select("o_orderkey", "token_count", "bad", "last_end", "operator", "acknowledged", "result", "failure")
     x = frames.parse_result(x, "result").select("o_orderkey", "token_count", "bad", "last_end", "operator", "acknowledged", F.col("entries")[0]["node_id"].alias("node_id"), "failure")
