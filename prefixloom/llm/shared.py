@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prefixloom.sources.shared import delete, materialise, scratch, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, a temporary one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.conf.get("prefixloom.checkpoint.dir", None)
-        if not at:
-            at = "file://" + tempfile.mkdtemp(prefix="prefixloom-")
-            spark.conf.set("prefixloom.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: a lineage cut that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/prefixloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "drop_ids", "grouped", "materialise", "scratch", "set_aside", "shared_folder", "small_ids", "streamed"]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -46,7 +30,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         # small star: every smaller neighbour of u, and u itself, points at the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = materialise(small.where("u <> v").distinct(), "edges")
+        old, e = e, materialise(small.where("u <> v").distinct(), "edges")
+        delete(e.sparkSession, old.inputFiles()[0].rsplit("/", 1)[0]) if old.inputFiles() else None
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == before:
             break

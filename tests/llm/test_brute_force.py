@@ -377,13 +377,122 @@ def test_predictive_probabilities_add_up(spark):
         assert (2.0 ** -pitmanyor.bits(m, g)).sum() == pytest.approx(1, abs=0.03)
 
 
-def test_seating_follows_the_restaurant():
-    # tables of many customers with a fixed parent: the mean agrees with a customer-by-customer simulation
-    n, c, d, s, p = 4000, 60, 0.5, 1.0, 0.3
-    got = pitmanyor.seat(np.arange(n), np.full(n, c), np.ones(n, np.int64), np.zeros(n), np.full(n, p), d, s, 5).mean()
-    r = np.random.default_rng(1)
+def customers_one_by_one(c, d, s, p, rest, n, seed):
+    r = np.random.default_rng(seed)
     t = np.ones(n)
     for j in range(1, c):
-        a = (s + d * t) * p
+        a = (s + d * (rest + t)) * p
         t += r.random(n) < a / (a + j - d * t)
-    assert got == pytest.approx(t.mean(), rel=0.03)
+    return t
+
+
+@pytest.mark.parametrize("c, d, s, p, rest", [(5, 0.5, 1.0, 0.3, 0), (60, 0.5, 1.0, 0.3, 0), (60, 0.8, 0.5, 0.9, 3), (2000, 0.8, 0.5, 0.6, 2), (30000, 0.7, 0.5, 0.9, 1)])
+def test_seating_follows_the_restaurant(c, d, s, p, rest):
+    # tables of many customers with a fixed parent: mean and spread agree with a simulation customer by customer
+    n = 3000
+    got = pitmanyor.seat(np.arange(n), np.full(n, c), np.full(n, rest), np.full(n, p), d, s, 5)
+    want = customers_one_by_one(c, d, s, p, rest, n, 1)
+    assert got.mean() == pytest.approx(want.mean(), rel=0.03) and got.std() == pytest.approx(want.std(), rel=0.12)
+
+
+def test_lgamma():
+    import math
+
+    x = np.array([1e-3, 0.2, 1.0, 2.5, 10.0, 123.4, 1e6, 1e9])
+    assert np.allclose(pitmanyor.lgamma(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-9)
+
+
+def gibbs(data, order, hyper, burn, keep, seed):
+    """A hierarchical Pitman-Yor model of bytes by adding and removing one customer after another; mean predictive probabilities."""
+    r = random.Random(seed)
+    seats = {}  # context -> byte -> list of table sizes
+
+    def prob(u, w):
+        d, s = hyper[len(u)]
+        up = prob(u[1:], w) if u else 1 / 256
+        dishes = seats.get(u)
+        if not dishes:
+            return up
+        c, t = sum(map(sum, dishes.values())), sum(map(len, dishes.values()))
+        own = dishes.get(w, [])
+        return (sum(own) - d * len(own) + (s + d * t) * up) / (s + c)
+
+    def add(u, w):
+        d, s = hyper[len(u)]
+        dishes = seats.setdefault(u, {})
+        own = dishes.setdefault(w, [])
+        t = sum(map(len, dishes.values()))
+        new = (s + d * t) * (prob(u[1:], w) if u else 1 / 256)
+        x = r.random() * (sum(own) - d * len(own) + new)
+        for i, n in enumerate(own):
+            x -= n - d
+            if x < 0:
+                own[i] += 1
+                return
+        own.append(1)
+        if u:
+            add(u[1:], w)
+
+    def drop(u, w):
+        own = seats[u][w]
+        x = r.random() * sum(own)
+        for i, n in enumerate(own):
+            x -= n
+            if x < 0:
+                break
+        own[i] -= 1
+        if own[i] == 0:
+            del own[i]
+            if u:
+                drop(u[1:], w)
+
+    padded = bytes(order - 1) + data
+    grams_ = [(padded[i : i + order - 1], padded[i + order - 1]) for i in range(len(data))]
+    for g in grams_:
+        add(*g)
+    total = np.zeros(len(grams_))
+    for sweep in range(burn + keep):
+        for g in grams_:
+            drop(*g)
+            add(*g)
+        if sweep >= burn:
+            total += [prob(*g) / keep for g in grams_]
+    return total
+
+
+def test_probabilities_are_those_of_gibbs_customer_by_customer(spark):
+    text_ = ("the cat sat on the mat and the rat sat on the hat. that cat and that rat ate the oats at the mat. " * 2).encode()
+    hyper = np.array([(0.3, 1.0), (0.4, 1.0), (0.5, 0.5), (0.6, 0.5), (0.6, 0.5)])
+    want = -np.log2(gibbs(text_, pitmanyor.ORDER, hyper, 30, 60, 3))
+    df = spark.createDataFrame([(1, text_.decode())], "doc_id long, text string")
+    model, one = pitmanyor.train(df, rounds=4, burn=10, samples=40, hyper=hyper)
+    _, _, g, _ = next(pitmanyor.grams(pa.array([text_.decode()])))
+    got = pitmanyor.bits(pitmanyor._tables(model.toArrow(), one), g)
+    assert abs(got.mean() - want.mean()) < 0.05 * want.mean()
+    assert np.corrcoef(got, want)[0, 1] > 0.98
+
+
+def test_discounts_are_found_again():
+    # seatings drawn with known values: the likelihood over the grid peaks at them
+    r, d, s = np.random.default_rng(4), 0.6, 1.0
+    keys, counts_ = [], []
+    for u in range(400):
+        tables = []
+        for n in range(60):
+            x = r.random() * (s + n)
+            for i, t in enumerate(tables):
+                x -= t - d
+                if x < 0:
+                    tables[i] += 1
+                    break
+            else:
+                tables.append(1)
+        # every table has a dish of its own, as under a diffuse parent
+        keys += [u << 8 | i for i in range(len(tables))]
+        counts_ += tables
+    x = pitmanyor.Restaurants(np.array(keys), 4, np.array([(d, s)] * 5))
+    joined = np.zeros(len(pitmanyor.GRID_D))
+    x.sample(np.array(counts_), np.full(len(keys), 1e-12), 1, joined)
+    assert (x.t == 1).all()
+    i, j = np.unravel_index(np.argmax(x.fits(joined)), (len(pitmanyor.GRID_D), len(pitmanyor.GRID_S)))
+    assert abs(pitmanyor.GRID_D[i] - d) <= 0.05 and pitmanyor.GRID_S[j] in (0.5, 1.0, 2.0)
