@@ -1,14 +1,17 @@
 """Operator 3: main-content extraction by a site style tree.
 
-The DOMs of one host's pages are merged: elements on the same path of tags and classes are one node, holding the styles in which
-its children appear (sequences of labels, runs collapsed) and the content features of its own text (sentences, link targets, image
-sources). A node's presentation importance is the entropy of its styles over its occurrences; a leaf's content importance is 1 less the mean
-entropy of its features over the pages that have it, so what repeats across a site weighs little. Importance is composed upwards:
-(1 - GAMMA^styles) * presentation + GAMMA^styles * mean of the children. A text is removed from each page where its own content
-and its element both fall below THRESHOLD, so a branch goes if all of it is unimportant.
+The DOMs of one host's pages are merged: elements on the same path of tags and classes are one node, holding style nodes, the sequences of
+labels in which its children appear (runs collapsed), each with its share of the occurrences, and the content features of its own text
+(sentences, link targets, image sources). Style nodes of one element have children of the same label in common, so that a sequence that only one page
+has doesn't cut its elements off from the site's. A node's presentation importance is the entropy of its styles over its occurrences; its content
+importance is 1 less the mean entropy of its features over the pages that have it, so what repeats across a site weighs little. Importance is
+composed upwards: a style node's is the mean of its children's, own content counting as one; a node's is
+(1 - GAMMA^styles) * presentation + GAMMA^styles * the mean of its style nodes' by their shares. A text is removed from each page where its own
+content and its element both fall below THRESHOLD, so a branch goes if all of it is unimportant.
 
 Entropies are sums over (node, feature), which distribute: no task holds a site, however many pages it has. Only the merged tree, one
-row per node, is brought together by host.
+row per node, is brought together by host. What is to go, two numbers a node, reaches a scan of the pages by one broadcast while it has at most
+MOST_BROADCAST rows; beyond, the pages' texts are joined with it, block by block.
 
 Defined cases: null html gives an empty text. A null or odd url has the host '', a site of its own. A node on one page only has
 importance 1, as there is nothing to compare, so single-page sites keep all visible text. Unclosed and stray tags are repaired as
@@ -25,6 +28,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +89,7 @@ class Page:
             flush()
             while len(stack) > to:
                 _, node, seen = stack.pop()
-                self.styles[node, "\x1f".join(seen)] += 1
+                self.styles[node, tuple(seen)] += 1
 
         for m in _TOKEN.finditer(source):
             if m.start() > at:
@@ -153,28 +157,34 @@ def _sums(key: np.ndarray, kind: np.ndarray, feature: np.ndarray, c: np.ndarray,
     return key[at], kind[at], feature[at], np.add.reduceat(c, at), np.add.reduceat(l, at)
 
 
-_RAW = "key long, kind int, feature long, c long, l double, host string, node long, parent long, depth int"
+_RAW = "key long, kind int, feature long, c long, l double, host string, node long, parent long, depth int, children array<bigint>"
 
 
 def merged(pages: DataFrame) -> DataFrame:
-    """Rows of the merged trees, partly summed. kind 0: a node and its pages; 1: a style; 2: a content feature. l: sum of c ln c over pages."""
+    """Rows of the merged trees, partly summed. kind 0: a node and its pages; 1: a style and its children's keys; 2: a content feature.
+    l: sum of c ln c over pages."""
 
     def run(batches):
         known: dict = {}
         nodes: dict[tuple, int] = {}
+        styles: dict[tuple, list] = {}
         lists: list[list] = [[], [], [], []]
 
         def out():
             if nodes:
                 k = list(nodes)
-                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in k], pa.int64()), pa.array([0] * len(k), pa.int32()), pa.array([0] * len(k), pa.int64()), pa.array(list(nodes.values()), pa.int64()), pa.array([0.0] * len(k)), pa.array([x[0] for x in k], pa.string()), pa.array([x[2] for x in k], pa.int64()), pa.array([x[3] for x in k], pa.int64()), pa.array([x[4] for x in k], pa.int32())], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in k], pa.int64()), pa.array([0] * len(k), pa.int32()), pa.array([0] * len(k), pa.int64()), pa.array(list(nodes.values()), pa.int64()), pa.array([0.0] * len(k)), pa.array([x[0] for x in k], pa.string()), pa.array([x[2] for x in k], pa.int64()), pa.array([x[3] for x in k], pa.int64()), pa.array([x[4] for x in k], pa.int32()), pa.nulls(len(k), _CHILDREN)], _NAMES)
+            if styles:
+                k, n, none = list(styles), len(styles), pa.nulls(len(styles), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in k], pa.int64()), pa.array([1] * n, pa.int32()), pa.array([x[1] for x in k], pa.int64()), pa.array([v[0] for v in styles.values()], pa.int64()), pa.array([0.0] * n), pa.nulls(n, pa.string()), none, none, pa.nulls(n, pa.int32()), pa.array([v[1] for v in styles.values()], _CHILDREN)], _NAMES)
             if lists[0]:
                 c = np.array(lists[3], np.int64)
-                key, kind, feature, c, l = _sums(np.array(lists[0], np.int64), np.array(lists[1], np.int32), np.array(lists[2], np.int64), c, np.where(np.array(lists[1]) == 2, c * np.log(c), 0.0))
+                key, kind, feature, c, l = _sums(np.array(lists[0], np.int64), np.array(lists[1], np.int32), np.array(lists[2], np.int64), c, c * np.log(c))
                 n = len(key)
                 none = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(feature), pa.array(c), pa.array(l), pa.nulls(n, pa.string()), none, none, pa.nulls(n, pa.int32())], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), pa.array(feature), pa.array(c), pa.array(l), pa.nulls(n, pa.string()), none, none, pa.nulls(n, pa.int32()), pa.nulls(n, _CHILDREN)], _NAMES)
             nodes.clear()
+            styles.clear()
             for x in lists:
                 x.clear()
 
@@ -186,13 +196,18 @@ def merged(pages: DataFrame) -> DataFrame:
                 for n, parent in page.parent.items():
                     k = (name, keys[n], n, parent, page.depth[n])
                     nodes[k] = nodes.get(k, 0) + 1
-                for kind, counter in ((1, page.styles), (2, page.features)):
-                    for (n, f), c in counter.items():
-                        lists[0].append(keys[n])
-                        lists[1].append(kind)
-                        lists[2].append(_signed(xxhash.xxh3_64_intdigest(f)))
-                        lists[3].append(c)
-                if len(lists[0]) + len(nodes) > ROWS_HELD:
+                for (n, labels), c in page.styles.items():
+                    k = (keys[n], _signed(xxhash.xxh3_64_intdigest("\x1f".join(labels))))
+                    if k in styles:
+                        styles[k][0] += c
+                    else:
+                        styles[k] = [c, [keys[_id(n, x, known)] for x in labels]]
+                for (n, f), c in page.features.items():
+                    lists[0].append(keys[n])
+                    lists[1].append(2)
+                    lists[2].append(_signed(xxhash.xxh3_64_intdigest(f)))
+                    lists[3].append(c)
+                if len(lists[0]) + len(nodes) + len(styles) > ROWS_HELD:
                     yield from out()
         yield from out()
 
@@ -200,63 +215,87 @@ def merged(pages: DataFrame) -> DataFrame:
 
 
 _NAMES = [x.split()[0] for x in _RAW.split(", ")]
+_CHILDREN = pa.list_(pa.int64())
 
 
 def importance(pages: DataFrame, gamma: float = GAMMA) -> DataFrame:
     """(host, node, content, composite): content importance of a node's own text, composite importance of the node."""
     raw = materialise(merged(pages), "trees")
     nodes = raw.where("kind = 0").groupBy("host", "key", "node", "parent").agg(F.sum("c").alias("pages"), F.min("depth").alias("depth"))
-    each = raw.where("kind > 0").groupBy("key", "kind", "feature").agg(F.sum("c").alias("c"), F.sum("l").alias("l"))
+    each = raw.where("kind > 0").groupBy("key", "kind", "feature").agg(F.sum("c").alias("c"), F.sum("l").alias("l"), F.first("children", ignorenulls=True).alias("children"))
+    each = each.withColumn("n", F.size("children"))
+    style = lambda x: F.sum(F.when(F.col("kind") == 1, x))
     stats = each.groupBy("key").agg(
-        F.sum(F.when(F.col("kind") == 1, F.col("c"))).alias("occurrences"),
-        F.sum(F.when(F.col("kind") == 1, F.col("c") * F.log("c"))).alias("style_log"),
-        F.count(F.when(F.col("kind") == 1, 1)).alias("styles"),
+        style(F.col("c")).alias("occurrences"), style(F.col("c") * F.log("c")).alias("style_log"), style(F.lit(1)).alias("styles"),
+        # shares of a node's own content, and of styles without children
+        style(F.col("c") / (F.col("n") + 1)).alias("own"), style(F.when(F.col("n") == 0, F.col("c")).otherwise(0)).alias("bare"),
         F.sum(F.when(F.col("kind") == 2, F.greatest(F.log("c") - F.col("l") / F.col("c"), F.lit(0.0)))).alias("spread"),
         F.count(F.when(F.col("kind") == 2, 1)).alias("features"),
     )
-    x = nodes.join(stats, "key", "left").select(
+    # a child's shares in its parent's styles, without and with content of the parent's own; a child has one parent
+    shares = each.where("kind = 1").select("c", "n", F.explode("children").alias("key")).groupBy("key").agg(F.sum(F.col("c") / F.col("n")).alias("share"), F.sum(F.col("c") / (F.col("n") + 1)).alias("share_beside"))
+    x = nodes.join(stats, "key", "left").join(shares, "key", "left").select(
         "host", "node", "parent", "depth",
         F.when(F.col("features") == 0, None).when(F.col("pages") == 1, 1.0).otherwise(1 - F.col("spread") / F.col("features") / F.log("pages")).alias("content"),
         F.when(F.col("pages") == 1, 1.0).otherwise(F.coalesce((F.log("occurrences") - F.col("style_log") / F.col("occurrences")) / F.log("occurrences"), F.lit(0.0))).alias("presentation"),
         F.greatest(F.coalesce("styles", F.lit(0)), F.lit(1)).cast("int").alias("styles"),
+        F.coalesce("occurrences", F.lit(1)).cast("double").alias("occurrences"), # an element that is never open, as an image, has no style: all of it is its content
+        *[F.coalesce(c, F.lit(v)).cast("double").alias(c) for c, v in (("own", 1.0), ("bare", 1.0), ("share", 0.0), ("share_beside", 0.0))],
     )
 
     def compose(t: pa.Table) -> pa.Table:
-        c = {n: t.column(n).to_pylist() for n in t.schema.names}
-        total, many, result = {}, {}, [0.0] * t.num_rows
-        for i in sorted(range(t.num_rows), key=lambda i: (c["host"][i], -c["depth"][i], c["node"][i], c["parent"][i])):
-            own = (c["host"][i], c["node"][i])
-            below, n = total.get(own, 0.0), many.get(own, 0)
-            if c["content"][i] is not None:
-                below, n = below + c["content"][i], n + 1
-            g = gamma ** c["styles"][i]
-            r = (1 - g) * c["presentation"][i] + g * below / n if n else c["presentation"][i]
-            result[i] = r
-            up = (c["host"][i], c["parent"][i])
-            total[up], many[up] = total.get(up, 0.0) + r, many.get(up, 0) + 1
-        return pa.table({"host": t.column("host"), "node": t.column("node"), "content": t.column("content"), "composite": pa.array(result, pa.float64())})
+        c = {n: t.column(n).to_numpy() for n in ("node", "parent", "depth", "content", "presentation", "styles", "occurrences", "own", "bare", "share", "share_beside")}
+        site = t.column("host").combine_chunks().dictionary_encode().indices.to_numpy()
+        order = np.lexsort((c["node"], site))
+        # each row's parent, by the pair of site and node; the root has none
+        at = order[np.minimum(_place(site[order], c["node"][order], site, c["parent"]), len(order) - 1)]
+        has = (site[at] == site) & (c["node"][at] == c["parent"])
+        text = ~np.isnan(c["content"])
+        content = np.where(text, c["content"], 0.0)
+        below = np.where(text, c["own"] * content, c["bare"] * c["presentation"])
+        share = np.where(text[at], c["share_beside"], c["share"])
+        result, g = np.zeros(len(site)), gamma ** c["styles"]
+        by_depth = np.argsort(-c["depth"], kind="stable")
+        for rows in np.split(by_depth, np.flatnonzero(np.diff(c["depth"][by_depth])) + 1):
+            result[rows] = (1 - g[rows]) * c["presentation"][rows] + g[rows] * below[rows] / c["occurrences"][rows]
+            up = rows[has[rows]]
+            np.add.at(below, at[up], share[up] * result[up])
+        return pa.table({"host": t.column("host"), "node": t.column("node"), "content": t.column("content"), "composite": pa.array(result)})
 
     return grouped(x, ["host"], ["node"], compose, "host string, node long, content double, composite double")
 
 
+def _place(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Where each (x, y) stands among the sorted pairs (a, b)."""
+    both_a, both_b, kind = np.concatenate([a, x]), np.concatenate([b, y]), np.repeat([1, 0], [len(a), len(x)])
+    order = np.lexsort((kind, both_b, both_a))
+    before = np.cumsum(kind[order])
+    out = np.empty(len(order), np.int64)
+    out[order] = before
+    return out[len(a) :]
+
+
 def extract(pages: DataFrame, threshold: float = THRESHOLD, gamma: float = GAMMA, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(page_id, host, text, kept, removed): the text left of each page, a line per block, and how many blocks stayed and went."""
     noise = importance(pages, gamma).where((F.coalesce("content", F.lit(1.0)) < threshold) & (F.col("composite") < threshold)).select("host", "node").distinct()
     noise = materialise(noise, "noise")
-    few = noise.limit(most_broadcast + 1).count() <= most_broadcast
-    noise = noise.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("noise"))
     x = pages.select("page_id", host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    x = x.join(F.broadcast(noise) if few else noise, "host", "left").select("page_id", "host", "html", "noise")
+    kind = x.schema["page_id"].dataType.simpleString()
+    if noise.limit(most_broadcast + 1).count() > most_broadcast:
+        return _joined(x, noise, kind)
+    rows = noise.toArrow().sort_by("host")
+    names, first = np.unique(np.array(rows.column("host").to_pylist(), object), return_index=True)
+    held = pages.sparkSession.sparkContext.broadcast((dict(zip(names, zip(first, np.append(first[1:], rows.num_rows)))), rows.column("node").to_numpy()))
 
     def run(batches):
         known: dict = {}
+        where, nodes = held.value
         last, gone = None, frozenset()
         for b in batches:
             texts, kept, removed = [], [], []
-            for i, source in enumerate(b.column(2).to_pylist()):
-                name = b.column(1)[i].as_py()
+            for name, source in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if name != last:
-                    last, gone = name, frozenset(b.column(3)[i].as_py() or ())
+                    last, gone = name, frozenset(nodes[slice(*where[name])].tolist()) if name in where else frozenset()
                 blocks = Page(source or "", known).blocks
                 stay = [t for n, t in blocks if n not in gone]
                 texts.append("\n".join(stay))
@@ -264,5 +303,31 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, gamma: float = GAMMA
                 removed.append(len(blocks) - len(stay))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(kept, pa.int32()), pa.array(removed, pa.int32())], ["page_id", "host", "text", "kept", "removed"])
 
-    kind = x.schema["page_id"].dataType.simpleString()
     return x.mapInArrow(run, f"page_id {kind}, host string, text string, kept int, removed int")
+
+
+def _joined(x: DataFrame, noise: DataFrame, kind: str) -> DataFrame:
+    """extract() where noise is too large to broadcast: a row a block, joined with it and put together again. A page without blocks has one row, at -1."""
+
+    def run(batches):
+        known: dict = {}
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            at, pos, node, text = [], [], [], []
+            for i, source in enumerate(b.column(2).to_pylist()):
+                for p, (n, t) in enumerate([(0, None), *Page(source or "", known).blocks]):
+                    at.append(i)
+                    pos.append(p - 1)
+                    node.append(n)
+                    text.append(t)
+            i = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(at, np.int64) + row), b.column(0).take(i), b.column(1).take(i), pa.array(pos, pa.int32()), pa.array(node, pa.int64()), pa.array(text, pa.string())], ["row", "page_id", "host", "pos", "node", "text"])
+            row += b.num_rows
+
+    blocks = materialise(x.mapInArrow(run, f"row long, page_id {kind}, host string, pos int, node long, text string"), "blocks")
+    y = blocks.join(noise.withColumn("gone", F.lit(True)), ["host", "node"], "left")
+    own = F.col("pos") >= 0
+    stay = own & F.col("gone").isNull()
+    y = y.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.sort_array(F.collect_list(F.when(stay, F.struct("pos", "text")))).alias("stay"), F.count(F.when(own, 1)).cast("int").alias("blocks"))
+    kept = F.size("stay").alias("kept")
+    return y.select("page_id", "host", F.array_join("stay.text", "\n").alias("text"), kept, (F.col("blocks") - F.size("stay")).alias("removed"))

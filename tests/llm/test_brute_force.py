@@ -227,6 +227,61 @@ def test_site_boilerplate_goes_and_articles_stay(spark):
         assert x.content == pytest.approx(1 - np.mean(hs), abs=1e-9)
 
 
+def composite_by_hand(pages, gamma=styletree.GAMMA):
+    """(content, composite) of every node of one site, by recursion over the merged tree."""
+    parent, depth = {}, {}
+    for p in pages:
+        parent |= p.parent
+        depth |= p.depth
+    on = {n: [p for p in pages if n in p.parent] for n in parent}
+    entropy = lambda c: float(-sum(x / sum(c) * np.log(x / sum(c)) for x in c))
+    out = {}
+    for n in sorted(parent, key=lambda n: -depth[n]):
+        styles, feats = {}, {}
+        for p in on[n]:
+            for (m, labels), c in p.styles.items():
+                if m == n:
+                    styles[labels] = styles.get(labels, 0) + c
+            for (m, f), c in p.features.items():
+                if m == n:
+                    feats.setdefault(f, []).append(c)
+        alone, total = len(on[n]) == 1, sum(styles.values())
+        content = None if not feats else 1.0 if alone else 1 - np.mean([entropy(c) for c in feats.values()]) / np.log(len(on[n]))
+        shown = 1.0 if alone else entropy(list(styles.values())) / np.log(total) if total > 1 else 0.0
+        below = 0.0
+        for labels, c in styles.items():
+            own = [out[styletree._id(n, x, {})][1] for x in labels] + ([content] if content is not None else [])
+            below += c / total * (np.mean(own) if own else shown)
+        g = gamma ** max(len(styles), 1)
+        out[n] = (content, (1 - g) * shown + g * (below if styles else content if content is not None else shown))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_style_tree_by_hand(spark, seed):
+    r = random.Random(seed)
+
+    def branch(depth):
+        if depth == 0 or r.random() < 0.2:
+            return r.choice(["Home", "About us.", " ".join(prose(r, 6)) + "."])
+        parts = [f"<{t} class={r.choice('ab')}>{branch(depth - 1)}</{t}>" for t in r.choices(["div", "ul", "p", "section"], k=r.randint(1, 3))]
+        return "".join(parts) + r.choice(["", "tail text", "<img src=/x>"])
+
+    rows = [(i, "http://s.example/", "<body><nav>Home</nav>" + branch(3) + "</body>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = composite_by_hand([styletree.Page(h, {}) for *_, h in rows])
+    got = {x.node: (x.content, x.composite) for x in styletree.importance(df).collect()}
+    assert got.keys() == want.keys()
+    for n, (content, composite) in want.items():
+        assert got[n][1] == pytest.approx(composite, abs=1e-9) and (got[n][0] is None) == (content is None)
+        assert content is None or got[n][0] == pytest.approx(content, abs=1e-9)
+    gone = {n for n, (content, composite) in want.items() if (1.0 if content is None else content) < styletree.THRESHOLD and composite < styletree.THRESHOLD}
+    left = {i: "\n".join(t for n, t in styletree.Page(h, {}).blocks if n not in gone) for i, _, h in rows}
+    assert gone and {x.page_id: x.text for x in styletree.extract(df).collect()} == left
+    # beyond the bound on the broadcast
+    assert sorted(styletree.extract(df, most_broadcast=0).collect()) == sorted(styletree.extract(df).collect())
+
+
 def test_pareto_sample_sizes_and_odds(spark):
     r = random.Random(11)
     rows = [(i, f"s{i % 3}", r.randint(1, 50)) for i in range(600)]

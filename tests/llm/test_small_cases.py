@@ -118,6 +118,7 @@ def test_pages(spark):
     assert by[1].text == "" and by[1].host == "" and by[2].text == ""
     assert by[4].text == "deep" and by[5].host == "d.example" and by[None].text.startswith("t")
     assert styletree.extract(df.where("false")).count() == 0
+    assert sorted(map(str, styletree.extract(df, most_broadcast=-1).collect())) == sorted(map(str, got))
     back = warc.round_trip(df, split=1000)
     assert sorted(map(str, back.collect())) == sorted(map(str, df.select("page_id", "url", "html").collect()))
     assert warc.round_trip(df.where("false")).count() == 0
