@@ -16,6 +16,7 @@ cosines go to the language first in alphabetical order. An empty table gives no
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -140,15 +141,28 @@ def fit(texts: list[str], langs: list[str], df: np.ndarray, n: int, clusters: in
     return Centroids(idf, np.array(center, np.float32), np.array(radius), names) if center else None
 
 
-def sample(docs: DataFrame, most: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """Texts and labels of at most `most` documents per language; the limit is applied inside each task first."""
+def sampled(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """(id, lang, text) of at most `most` documents per language; the limit is applied inside each task first."""
     rows = docs.where("lang is not null and doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select(F.col("doc_id").alias("__px_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("__px_d"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     # at most `most` ids a language: a bounded broadcast
-    got = texts.join(F.broadcast(ids), F.col("__px_d") == F.col("__px_id")).where("lang is not null and text is not null").select("__px_id", "lang", "text").dropDuplicates(["__px_id", "lang"]).toArrow().sort_by([("lang", "ascending"), ("__px_id", "ascending")])
-    return got.column("text").to_pylist(), got.column("lang").to_pylist()
+    got = texts.join(F.broadcast(ids), F.col("__px_d") == F.col("__px_id")).where("lang is not null and text is not null")
+    return got.groupBy(F.col("__px_id").alias("id"), "lang").agg(F.min("text").alias("text"))
+
+
+def fitted(docs: DataFrame, df: np.ndarray, n: int, most: int = SAMPLE) -> Centroids | None:
+    """The centroids of the sample, made in one task: the driver gets them, 16 KB each, and no texts."""
+    held = docs.sparkSession.sparkContext.broadcast((df, n))  # 32 KB
+
+    def run(batches):
+        rows = sorted((lang, i, t) for b in batches for i, lang, t in zip(*(b.column(k).to_pylist() for k in range(3))))
+        model = fit([t for *_, t in rows], [lang for lang, *_ in rows], *held.value)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    got = sampled(docs, most).coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(bytes(got.model)) if got else None
 
 
 def identify(docs: DataFrame, model: Centroids | None) -> DataFrame:
@@ -177,4 +191,4 @@ def identify(docs: DataFrame, model: Centroids | None) -> DataFrame:
 def languages(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     """Fit on the table's own labels, then classify all of it."""
     df, n = document_frequencies(docs)
-    return identify(docs, fit(*sample(docs, most), df, n))
+    return identify(docs, fitted(docs, df, n, most))

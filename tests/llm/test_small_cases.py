@@ -55,6 +55,13 @@ def test_languages(spark, odd, none):
     rows = langid.languages(odd).collect()
     assert len(rows) == 11 and all(r.predicted == "und" and r.rejected for r in rows if r.doc_id in (1, 2, 3))
     assert langid.languages(none).count() == 0
+    # two languages of the same texts: equal cosines go to the first by name
+    texts = [prose(i, 30) for i in range(6)]
+    df, n = np.ones(langid.DIM), 6
+    model = langid.fit(texts + texts, ["zz"] * 6 + ["aa"] * 6, df, n, clusters=6)
+    same = langid.Centroids(model.idf, np.concatenate([model.center, model.center]), np.ones(2 * len(model.center)), ["aa"] * len(model.center) + ["zz"] * len(model.center))
+    got = langid.identify(odd.where("doc_id in (4, 5)"), same).collect()
+    assert {r.predicted for r in got} == {"aa"}
     assert all(r.rejected for r in langid.languages(odd.withColumn("lang", F.lit(None).cast("string"))).collect())
 
 
