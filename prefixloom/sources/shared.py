@@ -19,11 +19,29 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_made: list[str] = []
+
+
+def made() -> int:
+    """How many paths scratch() has given out: a mark for release()."""
+    return len(_made)
+
+
+def release(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Delete the paths given out since the mark, but for those that keep reads."""
+    used = {f.split("/part-")[0].rstrip("/").split("/")[-1] for f in keep.inputFiles()}
+    for path in _made[mark:]:
+        if path.split("/")[-1] not in used:
+            delete(spark, path)
+    _made[mark:] = [p for p in _made[mark:] if p.split("/")[-1] in used]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_folder(spark)}/prefixloom/{name}-{uuid.uuid4().hex}"
     fs, at = _hadoop(spark, path)
     fs.deleteOnExit(at)
+    _made.append(path)
     return path
 
 
