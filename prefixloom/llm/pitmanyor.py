@@ -17,8 +17,8 @@ the last two bytes of their context, so that a context and its parents down to l
 256 * 256 dishes whatever the corpus, are sampled between ROUNDS on the driver. Random numbers are hashes of dish, sweep and step: the result
 doesn't depend on partitioning and a lost task repeats itself.
 
-A document is scored in one scan while the model has at most MOST_MODEL rows (it is then broadcast, 21 bytes a row), else by joining the
-documents' n-grams with it. Unseen n-grams are scored by the parents' probabilities.
+A document is scored in one scan while the model has at most MOST_MODEL rows (it is then broadcast, 21 bytes a row), else each block
+of BLOCK bytes of text gets the part of the model that it needs. Unseen n-grams are scored by the parents' probabilities.
 
 Defined cases: a text starts in the context of NUL bytes. Null and empty texts have 0 bytes, 0 bits and no perplexity. Rows that repeat are
 counted and scored each; null doc_ids too. An empty table gives no rows; other columns are ignored.
@@ -28,6 +28,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,7 @@ BLOCKS = 8
 MOST_MODEL = 4_000_000
 HELD = 4_000_000
 ROWS_AT_ONCE = 400_000
+BLOCK = 1 << 24
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -420,13 +423,13 @@ def _tables(rows: pa.Table, one: np.ndarray) -> dict:
 
 
 
-def score(docs: DataFrame, model: DataFrame, one: np.ndarray, most_model: int = MOST_MODEL) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, one: np.ndarray, most_model: int = MOST_MODEL, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_bytes, bits, perplexity) of every row; perplexity is two to the bits per byte."""
     spark = docs.sparkSession
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     perplexity = F.when(F.col("n_bytes") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("n_bytes"))).alias("perplexity")
     if model.limit(most_model + 1).count() > most_model:
-        return _joined(x, model, one).select("doc_id", "n_bytes", "bits", perplexity)
+        return _blockwise(x, model, one, block).select("doc_id", "n_bytes", "bits", perplexity)
     rows = model.toArrow()
     held = spark.sparkContext.broadcast((rows.column("n").to_numpy().astype(np.int8), rows.column("weight").to_numpy(), rows.column("key").to_numpy(), rows.column("value").to_numpy(), one))
 
@@ -441,36 +444,41 @@ def score(docs: DataFrame, model: DataFrame, one: np.ndarray, most_model: int =
     return x.mapInArrow(run, "doc_id long, n_bytes long, bits double").select("doc_id", "n_bytes", "bits", perplexity)
 
 
-def _joined(x: DataFrame, model: DataFrame, one: np.ndarray) -> DataFrame:
-    """Scores by joins: one for the whole n-gram, then for what is unseen one for each shorter context."""
+def _blockwise(x: DataFrame, model: DataFrame, one: np.ndarray, size: int) -> DataFrame:
+    """Scores where the model is too large to send: texts are cut into blocks, each block's distinct n-grams and contexts are joined with the model,
+    and what it has of them is brought to the block. A row of the join is an n-gram of a block, however often it is there.
+    """
 
-    def run(batches):
+    def cut(batches):
+        done, at = 0, TaskContext.get().partitionId() << 32
+        for b in batches:
+            ends = done + np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            done = int(ends[-1]) if len(ends) else done
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at | ends // size)], ["doc_id", "text", "block"])
+
+    rows = materialise(x.mapInArrow(cut, "doc_id long, text string, block long"), "blocks")
+
+    def needed(batches):
         for b in batches:
-            for lo, hi, g, off in grams(b.column(2)):
-                key = np.repeat(np.arange(hi - lo), np.diff(off)) << 40 | g
-                k, c = np.unique(key, return_counts=True)
-                at = pa.array(lo + (k >> 40))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(k & ((1 << 40) - 1)), pa.array(c)], ["row", "gram", "c"])
-
-    rows = materialise(x.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
-    todo = rows.mapInArrow(lambda b: run(t.select([0, 1, 2]) for t in b), "row long, gram long, c long").withColumn("w", F.lit(0.0))
-    spark, found = x.sparkSession, []
-    pairs = spark.createDataFrame(pa.table({"key": np.arange(1 << 16), "value": one}))
-    for n in range(ORDER, 1, -1):
-        if n < ORDER:
-            weights = model.where(F.col("weight") & (F.col("n") == n)).select(F.col("key").alias("ctx"), F.col("value").cast("double").alias("v"))
-            todo = todo.withColumn("ctx", F.expr(f"shiftright(gram, 8) & {(1 << 8 * n) - 1}L")).join(weights, "ctx", "left").select("row", "gram", "c", (F.col("w") + F.coalesce(F.log2("v"), F.lit(0.0))).alias("w"))
-        known = (model.where(~F.col("weight") & (F.col("n") == n)) if n > 2 else pairs).select("key", F.col("value").cast("double").alias("p"))
-        both = todo.withColumn("key", F.expr(f"gram & {(1 << 8 * n) - 1}L")).join(known, "key", "left")
-        both = materialise(both.select("row", "gram", "c", "w", "p"), f"grams{n}")
-        found.append(both.where("p is not null").select("row", (F.col("c") * -(F.col("w") + F.log2("p"))).alias("bits")))
-        todo = both.where("p is null").select("row", "gram", "c", "w")
-    bits_ = found[0]
-    for f in found[1:]:
-        bits_ = bits_.union(f)
-    bits_ = bits_.groupBy("row").agg(F.sum("bits").alias("bits"))
-    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
-    return rows.join(bits_, "row", "left").select("doc_id", n_bytes, F.coalesce("bits", F.lit(0.0)).alias("bits"))
+            block = b.column(1).to_numpy()
+            for k in np.unique(block):
+                for _, _, g, _ in grams(b.column(0).filter(pa.array(block == k))):
+                    for weight, n in [(False, n) for n in range(ORDER, 2, -1)] + [(True, n) for n in range(ORDER - 1, 1, -1)]:
+                        key = np.unique((g >> 8 if weight else g) & ((1 << 8 * n) - 1))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k)), pa.array(np.full(len(key), n, np.int32)), pa.array(np.full(len(key), weight)), pa.array(key)], ["block", "n", "weight", "key"])
+
+    known = rows.select("text", "block").mapInArrow(needed, "block long, n int, weight boolean, key long").join(model, ["n", "weight", "key"]).select("block", "n", "weight", "key", "value")
+    held = x.sparkSession.sparkContext.broadcast(one)
+
+    def score_(texts: pa.Table, own: pa.Table) -> pa.Table:
+        ids, t = texts.column("doc_id").combine_chunks(), texts.column("text").combine_chunks()
+        m, out = _tables(own, held.value), []
+        for lo, hi, g, off in grams(t):
+            sums = np.append(0.0, np.cumsum(bits(m, g)))
+            out.append(pa.table({"doc_id": ids.slice(lo, hi - lo), "n_bytes": np.diff(off), "bits": sums[off[1:]] - sums[off[:-1]]}))
+        return pa.concat_tables(out)
+
+    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score_, "doc_id long, n_bytes long, bits double")
 
 
 def perplexities(docs: DataFrame, **options) -> DataFrame:

@@ -107,9 +107,12 @@ def test_perplexity(spark, odd, none):
     assert all(r.n_bytes == 0 and r.bits == 0 and r.perplexity is None for r in got if r.doc_id in (1, 2))
     assert pitmanyor.score(none, *pitmanyor.train(none, rounds=1)).count() == 0
     # beyond the bound on the broadcast
-    joined = pitmanyor.score(odd, model, one, most_model=1).collect()
     key = lambda rows: sorted((str(r.doc_id), r.n_bytes, round(r.bits, 3)) for r in rows)
-    assert key(joined) == key(got)
+    for block in (100, 5000, pitmanyor.BLOCK):
+        assert key(pitmanyor.score(odd, model, one, most_model=1, block=block).collect()) == key(got)
+    # texts that the model hasn't seen
+    new = odd.withColumn("text", F.concat(F.lit("q"), "text"))
+    assert key(pitmanyor.score(new, model, one, most_model=1).collect()) == key(pitmanyor.score(new, model, one).collect())
 
 
 PAGES = "page_id long, url string, html string"
