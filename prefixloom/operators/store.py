@@ -177,3 +177,19 @@ def coded(name: Column, names: tuple[str, ...]) -> Column:
     for i, n in enumerate(names[1:], 1):
         out = F.when(name == n, i).otherwise(out)
     return out
+
+
+def disk_announcements(headers: DataFrame, index: DataFrame, node: str) -> DataFrame:
+    """What a store that starts tells of its disk: an entry a valid block file, with the object that a manifest binds to it, if one does.
+
+    headers: of scan_headers(); index (object_id, block_id). (block_id, node_id, tier, kind, length, checksum, object_id)
+    """
+    o = index.groupBy("block_id").agg(F.min("object_id").alias("object_id"))
+    x = headers.where("problem is null").join(o, "block_id", "left")
+    return x.select("block_id", F.lit(node).alias("node_id"), F.lit(DISK).alias("tier"), F.lit(catalog.UPSERT).alias("kind"), "length", "checksum", "object_id")
+
+
+def fanned_out(events: DataFrame, planes: list[str]) -> DataFrame:
+    """events, one row a control plane that hears of them; a plane named twice hears once, and one without a name not at all."""
+    names = [p for p in dict.fromkeys(planes) if p]
+    return events.select("*", F.explode(F.array(*[F.lit(p) for p in names]).cast("array<string>")).alias("plane"))
