@@ -107,14 +107,16 @@ def tokens(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndar
         who.append(owner[ok])
     gram, who = np.concatenate(every), np.concatenate(who)
     order = np.argsort(who, kind="stable")
-    return Tokens((hashes >> U(50)).astype(np.int64), (gram[order] >> U(50)).astype(np.int64), np.searchsorted(who[order], np.arange(len(size) + 1)))
+    return Tokens((hashes >> U(50)).astype(np.int32), (gram[order] >> U(50)).astype(np.int32), np.searchsorted(who[order], np.arange(len(size) + 1)))
 
 
 def vectors(net: Network, t: Tokens) -> np.ndarray:
-    if len(t.bucket) == 0:
-        return np.zeros((0, DIM), np.float32)
-    s = np.add.reduceat(net.grams[t.gram], t.first[:-1], axis=0)
-    return net.words[t.bucket] + s / np.diff(t.first)[:, None].astype(np.float32)
+    x = np.empty((len(t.bucket), DIM), np.float32)
+    for i in range(0, len(x), 8192):
+        first = t.first[i : i + 8193]
+        s = np.add.reduceat(net.grams[t.gram[first[0] : first[-1]]], first[:-1] - first[0], axis=0)
+        x[i : i + 8192] = net.words[t.bucket[i : i + 8192]] + s / np.diff(first)[:, None].astype(np.float32)
+    return x
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,10 +279,10 @@ def _select(t: Tokens, at: np.ndarray) -> Tokens:
 
 
 def _cut(texts: pa.Array) -> tuple[Tokens, np.ndarray, np.ndarray, int]:
-    """Distinct tokens of texts, windows of their ids (padded), each window's text, number of texts."""
+    """Distinct tokens of texts, windows of their ids (padded), each window's text, number of texts. Arrays are filled part by part, to keep peaks low."""
     raw, offsets = text.buffers(texts)
     hashes, begins, ends, first = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
-    for w in text.words(texts):  # span by span, as splitting takes many times the bytes of a span
+    for w in text.words(texts, 1 << 18):
         base = offsets[w.row0]
         hashes.append(w.hash)
         begins.append(w.start + base)
@@ -288,12 +290,19 @@ def _cut(texts: pa.Array) -> tuple[Tokens, np.ndarray, np.ndarray, int]:
         first.append(w.first[1:] + first[-1][-1])
     hashes, begins, ends, first = map(np.concatenate, (hashes, begins, ends, first))
     distinct, where, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    padded = np.append(ids, np.full(SPAN, len(distinct))).astype(np.int32)
+    del hashes, ids
+    begins, ends = begins[where], ends[where]
+    parts = [tokens(raw, begins[i : i + 8192], ends[i : i + 8192], distinct[i : i + 8192]) for i in range(0, len(distinct), 8192)]
+    size = np.concatenate([np.zeros(1, np.int64), *[np.diff(t.first) for t in parts]])
+    none = np.zeros(0, np.int32)
+    t = Tokens(np.concatenate([none, *[x.bucket for x in parts]]), np.concatenate([none, *[x.gram for x in parts]]), np.cumsum(size))
     start, row = windows(first)
-    t = tokens(raw, begins[where], ends[where], distinct)
-    padded = np.append(ids, np.full(SPAN, len(distinct)))
-    index = start[:, None] + np.arange(SPAN)
-    ids = np.where(index < first[1:][row][:, None], padded[np.minimum(index, len(padded) - 1)], len(distinct))
-    return t, ids, row, len(offsets) - 1
+    last, out = first[1:][row], np.empty((len(start), SPAN), np.int32)
+    for i in range(0, len(start), 8192):
+        index = start[i : i + 8192, None] + np.arange(SPAN)
+        out[i : i + 8192] = np.where(index < last[i : i + 8192, None], padded[np.minimum(index, len(padded) - 1)], len(distinct))
+    return t, out, row, len(offsets) - 1
 
 
 @dataclass
@@ -307,14 +316,16 @@ class Cut:
 
 
 def _rare(cut: Cut, windows_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which word and which n-gram buckets occur in fewer than MIN_DOCS texts of these windows."""
-    t, size = cut.tokens, len(cut.tokens.bucket) + 1
-    pairs = np.unique((cut.row[windows_, None] * size + cut.ids[windows_]).ravel())
-    doc, token = pairs // size, pairs % size
-    doc, token = doc[token < size - 1], token[token < size - 1]
-    own = _select(t, token)
-    seen = lambda d, b: np.bincount(np.unique(d * BUCKETS + b) % BUCKETS, minlength=BUCKETS)
-    return seen(doc, t.bucket[token]) < MIN_DOCS, seen(np.repeat(doc, np.diff(own.first)), own.gram) < MIN_DOCS
+    """Which word and which n-gram buckets occur in fewer than MIN_DOCS texts of these windows, which come text by text."""
+    t, row = cut.tokens, cut.row[windows_]
+    words, grams = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    heads = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row)) if len(row) else np.zeros(1, np.int64)
+    for lo, hi in zip(heads[:-1], heads[1:]):
+        own = np.unique(cut.ids[windows_[lo:hi]])
+        own = _select(t, own[own < len(t.bucket)])
+        words[np.unique(own.bucket)] += 1
+        grams[np.unique(own.gram)] += 1
+    return words < MIN_DOCS, grams < MIN_DOCS
 
 
 def learn(cut: Cut, label: np.ndarray, mine: np.ndarray, seed: int = SEED) -> Network:
