@@ -34,15 +34,42 @@ def mutations(requests: DataFrame, leases: DataFrame) -> DataFrame:
 
 
 def single_flights(requests: DataFrame, key: str, at: str, flight: int) -> DataFrame:
-    """requests with `leads`: the first of a key, and any that comes when the flight of the last leader has landed, starts one; others share it.
-
-    A fold, as who leads depends on the leader before.
+    """(key, requests, flights): the first request of a key, and any that comes when the flight of the last leader has landed, starts a
+    flight; others share it. Who leads depends on the leader before, so a key is read in order of time; a task holds one batch of it, and
+    finds each next leader by bisection. Requests without a time aren't counted; a key that has none but those gives no row.
     """
-    x = requests.groupBy(key).agg(F.array_sort(F.collect_list(at)).alias("ats"))
-    start = F.struct(F.lit(-(1 << 62)).cast("bigint").alias("until"), F.lit(0).cast("bigint").alias("flights"))
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    kind = requests.schema[key].dataType.simpleString()
 
-    def step(s, t):
-        new = t >= s["until"]
-        return F.struct(F.when(new, t + flight).otherwise(s["until"]).alias("until"), (s["flights"] + new.cast("bigint")).alias("flights"))
+    def run(batches):
+        now, until, n, flights = None, None, 0, 0
+        for b in batches:
+            out, keys_, ats = [], b.column(0), b.column(1).to_numpy()
+            if not len(ats):
+                continue
+            runs = pc.run_end_encode(keys_)
+            lo = 0
+            for k, hi in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if n == 0 or k != now:
+                    if n:
+                        out.append((now, n, flights))
+                    now, until, n, flights = k, None, 0, 0
+                own, i = ats[lo:hi], 0
+                n += hi - lo
+                while True:
+                    if until is not None:
+                        i += int(np.searchsorted(own[i:], until))
+                    if i >= len(own):
+                        break
+                    flights, until = flights + 1, int(own[i]) + flight
+                lo = hi
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], keys_.type), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], [key, "requests", "flights"])
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([now], keys_.type), pa.array([n], pa.int64()), pa.array([flights], pa.int64())], [key, "requests", "flights"])
 
-    return x.select(key, F.size("ats").cast("bigint").alias("requests"), F.aggregate("ats", start, step)["flights"].alias("flights"))
+    x = requests.select(key, F.col(at).cast("bigint").alias("__at")).where("__at is not null")
+    return x.repartition(key).sortWithinPartitions(key, "__at").mapInArrow(run, f"`{key}` {kind}, requests bigint, flights bigint")

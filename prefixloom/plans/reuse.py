@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prefixloom.functions import binary, keys, kv
+from prefixloom.functions.binary import let
 from prefixloom.operators import compute, lookup
 from prefixloom.plans import sql
 from prefixloom.plans.registry import query
@@ -144,11 +145,16 @@ SELECT doc_id, sum(low)::BIGINT AS low_sum, max(low)::BIGINT AS low_max FROM m G
 def kv_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every byte token, the 16 bits behind its value in layer 1, kind 1, head 1, dimension 3: summed per document."""
     d = keys.spread(documents(spark, sf_dir).where("octet_length(text) > 0"))
-    b = d.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("text")), lambda i: F.conv(F.hex(F.substring(F.col("text").cast("binary"), i, F.lit(1))), 16, 10).cast("bigint"))).alias("i", "t"))
-    one = F.lit(1).cast("bigint")
-    v = kv.value(F.col("t"), F.col("i").cast("bigint"), one, one, one, F.lit(3).cast("bigint"))
-    low = F.round(-v.cast("double") * 65535).cast("bigint")
-    return b.groupBy("doc_id").agg(F.sum(low).alias("low_sum"), F.max(low).alias("low_max"))
+    raw, one = F.col("text").cast("binary"), F.lit(1).cast("bigint")
+
+    def low(i: Column) -> Column:
+        token = F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("bigint")
+        return F.round(-kv.value(token, (i - 1).cast("bigint"), one, one, one, F.lit(3).cast("bigint")).cast("double") * 65535).cast("bigint")
+
+    # a fold over the bytes inside the row: no row a byte, and no shuffle
+    none = F.struct(F.lit(0).cast("bigint").alias("low_sum"), F.lit(0).cast("bigint").alias("low_max"))
+    both = F.aggregate(F.sequence(F.lit(1), F.octet_length("text")), none, lambda s, i: let(low(i), lambda v: F.struct((s["low_sum"] + v).alias("low_sum"), F.greatest(s["low_max"], v).alias("low_max"))))
+    return d.select("doc_id", both.alias("s")).select("doc_id", "s.low_sum", "s.low_max")
 
 
 @query("kv_payloads")

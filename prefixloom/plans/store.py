@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefixloom.client import Client
 from prefixloom.functions import binary, keys
 from prefixloom.operators import catalog, compute, integrity, lookup, routing, store, tiering
 from prefixloom.plans import blocks, cluster, sql
 from prefixloom.plans.registry import query
-from prefixloom.plans.reuse import SCOPE, read
-from prefixloom.sources import blockfiles, frames
+from prefixloom.plans.reuse import SCOPE, documents, read, text_keys
+from prefixloom.sources import blockfiles, frames, texts
 from prefixloom.sources.shared import scratch
 
 SELF = cluster.SELF
@@ -370,3 +371,43 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     blockfiles.delete_files(blockfiles.read_manifests(spark, folder).where("problem is null and (block_id - 1) % 4 = 0")).count()
     left = blockfiles.read_manifests(spark, folder).where("problem is null").orderBy("token_count")
     return left.select(F.col("block_id").cast("bigint").alias("block_id"), "token_count", binary.low_hex(F.col("object_id")).alias("object_id"))
+
+
+@query("disk_announcements", "SELECT s_suppkey + 1 AS block_id, octet_length(encode(s_name || '|' || s_suppkey))::BIGINT AS length, CASE WHEN s_suppkey % 4 <> 0 THEN sha256(s_suppkey::VARCHAR) END AS object_id FROM supplier")
+def disk_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store tells of its disk when it starts: every block file, most with an object."""
+    folder = scratch(spark, "blocks")
+    blockfiles.write_blocks(_supplier_blocks(spark, sf_dir), folder).count()
+    k = F.col("s_suppkey")
+    index = read(spark, sf_dir, "supplier").where(k % 4 != 0).select(F.unhex(F.sha2(k.cast("string").cast("binary"), 256)).alias("object_id"), (k + 1).cast(binary.U64).alias("block_id"))
+    x = store.disk_announcements(blockfiles.scan_headers(spark, folder), index, SELF)
+    return x.select(F.col("block_id").cast("bigint").alias("block_id"), "length", binary.low_hex(F.col("object_id")).alias("object_id"))
+
+
+@query("fanned_out", f"SELECT block_id, node_id, tier, version, plane FROM ({cluster.EVENTS_SQL}), (SELECT unnest(['plane-a', 'plane-b']) AS plane) WHERE kind = 2")
+def fanned_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's deletes as two control planes hear of them."""
+    e = cluster.location_events(spark, sf_dir).where(F.col("kind") == catalog.DELETE)
+    return store.fanned_out(e, ["plane-a", "plane-b", "plane-a", ""]).select("block_id", "node_id", "tier", "version", "plane")
+
+
+@query("text_files", "SELECT s_name || '|' || s_suppkey AS text, octet_length(encode(s_name || '|' || s_suppkey))::BIGINT AS tokens FROM supplier")
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts from text files, a line each."""
+    folder = scratch(spark, "texts")
+    read(spark, sf_dir, "supplier").select(F.concat("s_name", F.lit("|"), F.col("s_suppkey").cast("string")).alias("value")).write.text(folder)
+    return texts.files(spark, folder, lines=True).select("text", F.octet_length("text").cast("bigint").alias("tokens"))
+
+
+@query("client_session", f"""WITH RECURSIVE {sql.chain('SELECT doc_id, text FROM documents', 'doc_id', SCOPE)},
+ix AS (SELECT DISTINCT object FROM c WHERE doc_id % 2 = 0), h AS (SELECT c.*, ix.object IS NOT NULL AS hit FROM c LEFT JOIN ix USING (object)),
+f AS (SELECT *, min(hit::INT) OVER (PARTITION BY doc_id ORDER BY idx) = 1 AS inside FROM h)
+SELECT doc_id, coalesce(max(token_end) FILTER (inside), 0)::BIGINT AS matched_tokens, count(*) FILTER (inside) AS entries, CASE WHEN bool_and(hit) THEN 1 ELSE 2 END::INT AS stop_reason, bool_or(inside) AS leased FROM f GROUP BY 1""")
+def client_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A client puts the chunks of every second document and commits them, then looks all documents up; matches are leased."""
+    c = Client(spark, SELF, cluster.SELF_ADDR)
+    k = text_keys(documents(spark, sf_dir)).select("doc_id", "idx", "token_end", "scope_digest", "prefix_digest", "object_id")
+    put = k.where("doc_id % 2 = 0").dropDuplicates(["object_id"]).select("scope_digest", "prefix_digest", "object_id", F.col("token_end").alias("token_count"), keys.block_id(F.col("object_id")).alias("block_id"), F.lit(1).cast("bigint").alias("seq"), F.col("prefix_digest").alias("payload"))
+    c.put_objects(put.withColumns({"length": F.octet_length("payload").cast("bigint"), "checksum": F.crc32("payload")}))
+    out = c.lookup_prefix(k.select("doc_id", "idx", "token_end", "object_id"), "doc_id")
+    return out.select("doc_id", "matched_tokens", "entries", "stop_reason", (F.col("lease_id") != 0).alias("leased"))
