@@ -3,8 +3,9 @@
 An item is the set of its k-word shingles. A document leaks it if some window of the item's length holds at least
 `threshold` of that set. Shingles of an item are ordered by rarity in the corpus; a window that reaches
 a = ceil(threshold * n) of n shingles must hold one of the n - a + 1 rarest, so only occurrences of those open candidates.
-Candidates pass a length bound (the document has room for a shingles) and a positional bound (a distinct shingles lie
-within one window), then containment is counted exactly.
+Candidates pass a length bound, that the document has room for a shingles. The positional bound, that a window whose rarest shared shingle
+is of rank r shares n - r + 1 at most, is where the prefix is cut; a window's own order isn't known before it is counted, so there is none on that
+side. Then containment is counted exactly.
 
 One scan of the texts finds every occurrence of every benchmark shingle; rarity, candidates and verification all come from
 that small table. The scan holds the benchmark's shingles as a sorted array while there are at most MOST_KEYS of them

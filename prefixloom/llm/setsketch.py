@@ -6,12 +6,16 @@ a lesser point. Union of sets is the registers' maximum (merge). Register values
 pair's Jaccard index is estimated jointly by maximum likelihood from how many registers are greater, less and equal;
 pairs whose estimate could reach the threshold are verified on the exact sets, and verified pairs are joined into groups.
 
-Nothing is capped, yet no step is quadratic in a group of copies:
+Nothing is capped, yet copies of one text, or of several, make no pairs of each with each:
 * documents with equal sets are one node from the start, named by a 64-bit fingerprint of the set;
-* in a band's bucket every node is paired with the least one, and verified with it if the estimate lets it; a node that isn't
-  verified is paired with all others of the bucket. So every bucket mate is either compared or linked through the least one;
-* pairs of such others are estimated and verified only if they still join two different components. Other edges could not
+* in a band's bucket every node is paired with the least one, its lead, and verified with it if the estimate lets it. A node that isn't
+  verified is paired with those that are only where the triangle inequality of Jaccard distances lets them be near: J(lead, x) is at most
+  J(lead, y) + 1 - threshold, within the estimates' errors. Those that aren't verified get a lead of their own, in ROUNDS rounds; what is left
+  then is paired each with each. So every bucket mate is compared, linked through a lead, or too far by the lead's account;
+* pairs of such mates are estimated and verified only if they still join two different components. Other edges could not
   change the groups.
+So a bucket of a few families costs their number times its size. Only one of many unlike documents, each near its lead but not near enough, is compared
+pair by pair.
 
 Defined cases: texts without words, null or empty, and rows with a null doc_id are in no group. Texts of fewer than k words
 are one shingle of all their words. Rows of one doc_id are one document that is in the groups of all its rows. An empty
@@ -35,6 +39,7 @@ ROWS = 4
 B = 1.01
 RATE = 20.0
 THRESHOLD = 0.5
+ROUNDS = 4
 MOST_IDS = 4_000_000
 _GOLD = U(0x9E3779B97F4A7C15)
 
@@ -183,7 +188,7 @@ def _bands(nodes: DataFrame, m: int, rows: int) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, m: int, keep: float) -> DataFrame:
-    """pairs with `close`: whether the estimate reaches keep."""
+    """pairs with the estimate j, and `close`: whether it reaches keep."""
     x = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
     y = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
     rows = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ra", "rb")
@@ -193,9 +198,9 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, m: int, keep: float) -> DataF
             if b.num_rows:
                 na, nb = b.column(2).to_numpy().astype(float), b.column(3).to_numpy().astype(float)
                 j = estimate(_matrix(b.column(4), m), _matrix(b.column(5), m), na, nb)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(j >= keep)], ["a", "b", "close"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(j), pa.array(j >= keep)], ["a", "b", "j", "close"])
 
-    return rows.mapInArrow(run, "a long, b long, close boolean")
+    return rows.mapInArrow(run, "a long, b long, j double, close boolean")
 
 
 def _leads(t: pa.Table) -> pa.Table:
@@ -225,16 +230,56 @@ def _least(m: int, threshold: float) -> float:
     return threshold - 3 * float(np.sqrt(threshold * (1 - threshold) / m))
 
 
-def mate_pairs(links: DataFrame, first: DataFrame, sure: DataFrame, part: DataFrame, nodes: DataFrame, m: int, threshold: float) -> DataFrame:
-    """Edges (a, b), a < b, that the estimate leaves, of nodes not verified with their bucket's lead and all others of the bucket.
+def _mates(near: DataFrame, far: DataFrame, m: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes far from their lead with those near it, (band, lead, node, j) both, that may be near each other.
 
-    Pairs that part, the components of the verified pairs, holds together are left out.
+    j is compared in tenths: a far node meets the tenths that it can reach, so that what it can't is never paired.
     """
-    far = first.select("a", "b").join(sure, ["a", "b"], "left_anti")
-    odd = links.where("size > 2").join(far, (F.col("lead") == F.col("a")) & (F.col("node") == F.col("b"))).select("band", F.col("node").alias("x"))
-    mates = links.select("band", F.col("node").alias("y"))
-    rest = odd.join(mates, "band").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    slack = 2 * (threshold - _least(m, threshold))
+    top = F.least(F.floor((F.col("j") + 1 - threshold + slack) * 10), F.lit(10))
+    y = far.select("band", "lead", F.col("node").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), top.cast("bigint"))).alias("tenth"))
+    x = near.select("band", "lead", F.col("node").alias("x"), F.floor(F.col("j") * 10).alias("tenth"))
+    return y.join(x, ["band", "lead", "tenth"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def rounds(links: DataFrame, first: DataFrame, sure: DataFrame, own: DataFrame, nodes: DataFrame, m: int, threshold: float, most: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(verified pairs, pairs (a, b) still to be compared) of all buckets, given those of the first leads."""
+    open_, known = links.where("size > 2").select("band", "lead", "node"), first
+    every, todo = sure, []
+    for r in range(most):
+        on = [F.col("lead") == F.col("a"), F.col("node") == F.col("b")]
+        good = every.select("a", "b", F.lit(True).alias("sure"))
+        x = open_.join(known.select("a", "b", "j"), on).drop("a", "b").join(good, on, "left").drop("a", "b")
+        x = materialise(x, "round")
+        near, far = x.where("sure"), x.where("sure is null")
+        todo.append(materialise(_mates(near, far, m, threshold), "mates"))
+        lead = far.groupBy("band").agg(F.min("node").alias("next"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        open_ = materialise(far.select("band", "node").join(lead, "band").where("node <> next").select("band", F.col("next").alias("lead"), "node"), "open")
+        if not open_.limit(1).count():
+            return every, _all(todo)
+        if r == most - 1:
+            break
+        pairs = open_.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+        known = materialise(pairs.join(known, ["a", "b"], "left_semi").join(known, ["a", "b"]).unionByName(_estimated(pairs.join(known, ["a", "b"], "left_anti"), nodes, m, _least(m, threshold))), "known")
+        fresh = known.where("close").select("a", "b").join(every, ["a", "b"], "left_anti")
+        every = every.unionByName(materialise(_verified(fresh, own, threshold), "sure"))
+    # what no lead has sorted out: the last lead's mates each with each
+    rest = open_.select("band", F.col("lead").alias("node")).union(open_.select("band", "node")).distinct()
+    x, y = rest.select("band", F.col("node").alias("a")), rest.select("band", F.col("node").alias("b"))
+    todo.append(x.join(y, "band").where("a < b").select("a", "b").distinct())
+    return every, _all(todo)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def mate_pairs(todo: DataFrame, every: DataFrame, part: DataFrame, nodes: DataFrame, m: int, threshold: float) -> DataFrame:
+    """Of the pairs to be compared, those that the estimate leaves. Pairs that part, the components of the verified pairs, holds together are left out."""
+    rest = todo.join(every, ["a", "b"], "left_anti")
     a, b = (part.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
     rest = rest.join(a, "a", "left").join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     return _estimated(rest, nodes, m, _least(m, threshold)).where("close").select("a", "b")
@@ -290,10 +335,13 @@ def groups(docs: DataFrame, k: int = K, m: int = M, rows: int = ROWS, threshold:
     links = materialise(bucket_links(nodes, m, rows), "links")
     first = materialise(lead_pairs(links, nodes, m, threshold), "first")
     close = first.where("close").select("a", "b")
-    own = materialise(exact_sets(docs, _ends(close), k, most_ids).dropDuplicates(["node"]), "sets")
+    # sets of all that is close to a lead, and of those that will get another: one scan
+    odd = links.where("size > 2").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct().join(close, ["a", "b"], "left_anti").select(F.col("b").alias("node"))
+    own = materialise(exact_sets(docs, _ends(close).union(odd), k, most_ids).dropDuplicates(["node"]), "sets")
     sure = materialise(_verified(close, own, threshold), "sure")
+    sure, todo = rounds(links, first, sure, own, nodes, m, threshold)
     part = materialise(components(sure), "parts")
-    more = materialise(mate_pairs(links, first, sure, part, nodes, m, threshold), "mates")
+    more = materialise(mate_pairs(todo, sure, part, nodes, m, threshold), "mates")
     new = materialise(_ends(more).distinct().join(own, "node", "left_anti"), "new")
     if new.limit(1).count():
         own = own.unionByName(materialise(exact_sets(docs, new, k, most_ids).dropDuplicates(["node"]), "sets"))
