@@ -39,7 +39,7 @@ ROWS = 4
 B = 1.01
 RATE = 20.0
 THRESHOLD = 0.5
-ROUNDS = 4
+ROUNDS = 3
 MOST_IDS = 4_000_000
 _GOLD = U(0x9E3779B97F4A7C15)
 
@@ -252,9 +252,9 @@ def rounds(links: DataFrame, first: DataFrame, sure: DataFrame, own: DataFrame,
         x = open_.join(known.select("a", "b", "j"), on).drop("a", "b").join(good, on, "left").drop("a", "b")
         x = materialise(x, "round")
         near, far = x.where("sure"), x.where("sure is null")
-        todo.append(materialise(_mates(near, far, m, threshold), "mates"))
+        todo.append(_mates(near, far, m, threshold))
         lead = far.groupBy("band").agg(F.min("node").alias("next"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        open_ = materialise(far.select("band", "node").join(lead, "band").where("node <> next").select("band", F.col("next").alias("lead"), "node"), "open")
+        open_ = far.select("band", "node").join(lead, "band").where("node <> next").select("band", F.col("next").alias("lead"), "node")
         if not open_.limit(1).count():
             return every, _all(todo)
         if r == most - 1:
