@@ -92,22 +92,51 @@ def unsigned64(s: Column) -> Column:
     return let(s, lambda x: F.when(x < 0, x.cast("decimal(21,0)") + F.lit(str(1 << 64)).cast("decimal(21,0)")).otherwise(x.cast("decimal(21,0)")).cast(U64))
 
 
+def _finalised(x):
+    """The 64-bit finaliser of Murmur3 on an array of uint64, which wraps."""
+    import numpy as np
+
+    shift = np.uint64(33)
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ x >> shift) * np.uint64(factor)
+    return x ^ x >> shift
+
+
 def murmur_finaliser(u: Column) -> Column:
     """The 64-bit finaliser of Murmur3 on DECIMAL(20,0)."""
-    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, None):
-        u = unsigned64(let(signed64(u), lambda s: s.bitwiseXOR(F.shiftrightunsigned(s, 33))))
-        if factor is not None:
-            u = times64(u, factor)
-    return u
+    import pyarrow as pa
+
+    def run(x: pa.Array) -> pa.Array:
+        import numpy as np
+
+        return pa.array(_finalised(x.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64), mask=x.is_null().to_numpy(zero_copy_only=False))
+
+    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return unsigned64(F.arrow_udf(run, "bigint")(signed64(u)))
 
 
 def ring_hash(s: Column) -> Column:
-    """FNV-1a of a string's bytes, then the finaliser: DECIMAL(20,0)."""
-    raw = s.cast("binary")
-    each = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("bigint"))
-    each = F.when(F.octet_length(raw) > 0, each).otherwise(F.array().cast("array<bigint>"))
-    h = F.aggregate(each, F.lit("14695981039346656037").cast(U64), lambda a, b: times64(unsigned64(signed64(a).bitwiseXOR(b)), 0x100000001B3))
-    return murmur_finaliser(h)
+    """FNV-1a of a string's bytes, then the finaliser: DECIMAL(20,0). A null is an empty string."""
+    import pyarrow as pa
+
+    def run(x: pa.Array) -> pa.Array:
+        import numpy as np
+
+        x = x.fill_null(b"").cast(pa.large_binary())
+        ends = np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1]
+        data = np.frombuffer(x.buffers()[2] or b"", np.uint8)
+        h, size = np.full(len(x), 14695981039346656037, np.uint64), np.diff(ends)
+        # byte by byte over all strings that are that long, the long ones first
+        order = np.argsort(-size, kind="stable")
+        left = len(x)
+        for i in range(int(size.max(initial=0))):
+            left -= int(np.searchsorted(size[order[:left]][::-1], i, "right"))
+            at = order[:left]
+            h[at] = (h[at] ^ data[ends[at] + i]) * np.uint64(0x100000001B3)
+        return pa.array(_finalised(h).view(np.int64))
+
+    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return unsigned64(F.arrow_udf(run, "bigint")(s.cast("binary")))
 
 
 def bit_at(u: Column, depth: Column) -> Column:

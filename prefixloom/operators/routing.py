@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefixloom.functions.binary import U64, murmur_finaliser, ring_hash
+from prefixloom.functions.binary import U64, murmur_finaliser, ring_hash, signed64
 
 SPAN = 1 << 64
 MOST_BROADCAST_NODES = 100_000
@@ -88,36 +88,10 @@ def ring(nodes: DataFrame, replicas: int = REPLICAS) -> DataFrame:
     return x.select(ring_hash(F.concat("node_id", F.lit("#"), F.col("r").cast("string"))).alias("hash"), "node_id")
 
 
-def ring_successors(points: DataFrame, n: int) -> DataFrame:
-    """(hash, node_id): each point with the list of the first n distinct nodes from it on, round the circle.
-
-    One pass over the ring from its end, as a point's list is its own node and then the next point's list without it. A ring is a
-    dimension of nodes times replicas; it is read in one task, in order, and a task holds its nodes and hashes.
-    """
-
-    def run(batches):
-        import pyarrow as pa
-
-        t = pa.Table.from_batches(list(batches))
-        if not t.num_rows:
-            return
-        nodes = t.column("node_id").to_pylist()
-        after: list[str] = []
-        out: list[list[str]] = [[]] * len(nodes)
-        for _ in range(2):  # the second time round the list at the end is known
-            for i in range(len(nodes) - 1, -1, -1):
-                after = [nodes[i], *[x for x in after if x != nodes[i]]][:n]
-                out[i] = after
-        yield pa.RecordBatch.from_arrays([t.column("hash").combine_chunks(), pa.array(out, pa.list_(pa.string()))], ["hash", "node_id"])
-
-    # of equal hashes the lesser node id is first, and the one that is found
-    return points.select("hash", "node_id").coalesce(1).sortWithinPartitions("hash", "node_id").mapInArrow(run, f"hash {U64}, node_id array<string>").dropDuplicates(["hash"]) if n > 1 else points
-
-
 def locate_ring_n(blocks: DataFrame, block: str, points: DataFrame, n: int) -> DataFrame:
     """blocks with (rank, node_id): the first n distinct nodes clockwise, all there are if fewer."""
-    x = locate_ring(blocks, block, ring_successors(points.groupBy("hash", "node_id").agg(F.lit(1)), max(n, 2)))
-    return x.select(*blocks.columns, F.posexplode(F.slice("node_id", 1, n)).alias("rank", "node_id")).withColumn("rank", F.col("rank") + 1)
+    x = _walked(blocks, block, points, n)
+    return x.select(*blocks.columns, F.posexplode("__nodes").alias("rank", "node_id")).withColumn("rank", F.col("rank") + 1)
 
 
 def route_version(history: DataFrame) -> DataFrame:
@@ -133,26 +107,74 @@ def routed(blocks: DataFrame, block: str, routes: DataFrame, version: DataFrame,
 
 
 def locate_ring(blocks: DataFrame, block: str, points: DataFrame) -> DataFrame:
-    """blocks with the node of the first point at or after the block's hash, round the circle. A point's node may be a list, too.
+    """blocks with the node of the first point at or after the block's hash, round the circle; null without points."""
+    return _walked(blocks, block, points, 1).select(*blocks.columns, F.get("__nodes", F.lit(0)).alias("node_id"))
+
+
+def _walked(blocks: DataFrame, block: str, points: DataFrame, n: int) -> DataFrame:
+    """blocks with __nodes, the list of the first n distinct nodes at or after the block's hash, round the circle.
 
-    An as-of join without a self-join: points and blocks sorted together in one window, cut into 4,096 slices of the circle, so
-    that no task holds all; slices get the first point of the next that has one.
+    An as-of join without a self-join: points and blocks are sorted together in each of 4,096 slices of the circle and read from its end, as a point's
+    list is its own node and then the next point's list without it. A slice begins with the list at the start of the next one. These lists
+    come of a pass over the points alone, at most 4,096 of them; a task holds a batch of rows and a list.
     """
-    keep = blocks.columns
     h = murmur_finaliser(F.col(block).cast(U64))
-    slice_ = F.expr("cast(__h div 4503599627370496BD as int)")
-    one = points.select(F.col("hash").alias("__h"), F.col("node_id").alias("__node"), *[F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in keep]).withColumn("__s", slice_)
-    two = blocks.select(h.alias("__h"), F.lit(None).cast(points.schema["node_id"].dataType).alias("__node"), *keep).withColumn("__s", slice_)
-    w = Window.partitionBy("__s").orderBy("__h", F.col("__node").isNull()).rowsBetween(0, Window.unboundedFollowing)
-    x = one.unionAll(two).withColumn("__is_point", F.col("__node").isNotNull()).withColumn("__next", F.first("__node", ignorenulls=True).over(w))
-    # points of equal hash: the lesser node id is first on the ring
-    firsts = one.groupBy("__s").agg(F.min_by("__node", F.struct("__h", "__node")).alias("__first"))
-    after = Window.orderBy("__s").rowsBetween(0, Window.unboundedFollowing)
-    # at most 4,096 rows
-    every = blocks.sparkSession.range(4096).select(F.col("id").cast("int").alias("__s")).join(firsts, "__s", "left")
-    wrap = firsts.agg(F.min_by("__first", "__s").alias("__wrap"))
-    every = every.crossJoin(F.broadcast(wrap)).withColumn("__f", F.coalesce(F.first("__first", ignorenulls=True).over(after), F.col("__wrap")))
-    every = every.select((F.col("__s") - 1).alias("__s"), "__f", "__wrap")
-    x = x.where("not __is_point").join(F.broadcast(every), "__s", "left")
-    wrapped = F.broadcast(wrap.withColumnRenamed("__wrap", "__w"))
-    return x.crossJoin(wrapped).select(*keep, F.coalesce("__next", "__f", "__w").alias("node_id"))
+    # BIGINT in the order of the unsigned numbers
+    order, part = signed64(F.col("__h")).bitwiseXOR(F.lit(-(1 << 63)).cast("bigint")), F.shiftrightunsigned(signed64(F.col("__h")), 52).cast("int")
+    placed = lambda x: x.withColumns({"__s": part, "__o": order}).drop("__h")
+    # at equal hashes the points come before the blocks, and the least node id, which is first on the ring, last
+    read = lambda x: x.repartition("__s").sortWithinPartitions("__s", F.desc("__o"), F.desc_nulls_last("__node"))
+    one, two = placed(points.select(F.col("hash").alias("__h"), F.col("node_id").alias("__node"))), placed(blocks.select(*blocks.columns, h.alias("__h")))
+
+    def follow(after: list[str], node: str) -> list[str]:
+        return after if after and after[0] == node else [node, *[x for x in after if x != node]][:n]
+
+    def heads(batches):
+        at, after = None, []
+        for b in batches:
+            done = []
+            for s, node in zip(b.column("__s").to_pylist(), b.column("__node").to_pylist()):
+                if s != at:
+                    if at is not None:
+                        done.append((at, after))
+                    at, after = s, []
+                after = follow(after, node)
+            yield _lists(*zip(*done)) if done else _lists([], [])
+        if at is not None:
+            yield _lists([at], [after])
+
+    def _lists(s, nodes):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(nodes, pa.list_(pa.string()))], ["__s", "__nodes"])
+
+    first = {r[0]: r[1] for r in read(one).mapInArrow(heads, "__s int, __nodes array<string>").collect()}
+    ends: dict[int, list[str]] = {}
+    after: list[str] = []
+    for _ in range(2):  # the second time round the list at the end is known
+        for s in range((1 << 12) - 1, -1, -1):
+            ends[s] = after
+            after = list(dict.fromkeys([*first.get(s, []), *after]))[:n]
+    keep = blocks.columns
+
+    def walk(batches):
+        import pyarrow as pa
+
+        at, after = None, []
+        for b in batches:
+            out, mine = [], []
+            for i, (s, node) in enumerate(zip(b.column("__s").to_pylist(), b.column("__node").to_pylist())):
+                if s != at:
+                    at, after = s, ends.get(s, [])
+                if node is not None:
+                    after = follow(after, node)
+                else:
+                    mine.append(i)
+                    out.append(after)
+            rows = b.select(keep).take(pa.array(mine, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.list_(pa.string()))], [*keep, "__nodes"])
+
+    from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+    schema = StructType([*[StructField(f.name, f.dataType) for f in blocks.schema.fields], StructField("__nodes", ArrayType(StringType()))])
+    return read(two.unionByName(one, allowMissingColumns=True)).mapInArrow(walk, schema)

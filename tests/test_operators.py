@@ -162,6 +162,18 @@ def test_ring_against_brute_force(spark):
         assert got[b] == ring[bisect_left([x[0] for x in ring], v) % 15][1]
 
 
+def test_ring_point_at_a_blocks_hash(spark):
+    """A point at the very hash is the block's; of two there the lesser node is first. A window from each row to its slice's end isn't used: it is quadratic."""
+    blocks = spark.range(1).withColumnRenamed("id", "b")
+    h = blocks.select(binary.murmur_finaliser(F.col("b").cast(binary.U64)).alias("hash"))
+    points = h.crossJoin(spark.createDataFrame([("y",), ("x",)], "node_id string")).unionAll(h.select((F.col("hash") + 5).cast(binary.U64), F.lit("a")))
+    assert routing.locate_ring(blocks, "b", points).first().node_id == "x"
+    assert [r.node_id for r in sorted(routing.locate_ring_n(blocks, "b", points, 2).collect(), key=lambda r: r.rank)] == ["x", "y"]
+    x = routing.locate_ring(blocks, "b", points)
+    assert "unboundedfollowing" not in x._jdf.queryExecution().executedPlan().toString().lower()
+    assert routing.locate_ring(blocks, "b", points.limit(0)).first().node_id is None
+
+
 def test_gates(spark):
     rows = [(1, 1, 2, b"ab", None), (0, 1, 2, b"ab", None), (2, 0, 2, b"ab", None), (3, 1, 0, b"", None), (4, 1, 3, b"ab", None), (5, 1, 2, b"ab", 1)]
     df = spark.createDataFrame(rows, "id long, seq long, n long, p binary, c long").withColumn("c", F.coalesce("c", F.crc32("p")))
