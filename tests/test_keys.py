@@ -119,3 +119,29 @@ def test_compute_reports_errors_as_rows(spark):
     df = spark.createDataFrame([(1, "byte_sum", b"", b"\x01\xff"), (2, "nope", b"", b"a"), (3, "byte_sum", b"x", b"a"), (4, "byte_sum", b"", None)], "id int, operator string, params binary, payload binary")
     got = {r.id: (r.result and int(r.result), r.error) for r in compute.compute(df).collect()}
     assert got == {1: (256, None), 2: (None, "unknown operator"), 3: (None, "unexpected parameters"), 4: (None, "not found")}
+
+
+def test_checksums_and_low_bits_without_a_row_a_byte(spark):
+    """Whole texts at once agree with the tensor and the value of each token, over borders of what a task holds; index halves wrap."""
+    texts = [(1, "a" * 15), (2, "héllo wörld, again"), (3, "".join(chr(32 + i * i % 90) for i in range(70_000)))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    raw = {i: t.encode() for i, t in texts}
+    got = kv.chunk_checksums(df.select("doc_id", F.col("text").cast("binary").alias("text")), "text", 16, 2, 2, 4).collect()
+    assert {(r.doc_id, r.idx) for r in got} == {(i, c) for i, t in raw.items() for c in range(len(t) // 16)} and {r.length for r in got} == {2048}
+    some = [r for r in got if r.idx in (0, 1, 1023, 1024, 4097)]
+    rows = spark.createDataFrame([(r.doc_id, r.idx, list(raw[r.doc_id][16 * r.idx : 16 * r.idx + 16]), 16 * r.idx) for r in some], "d long, idx int, t array<long>, b long")
+    want = {(r.d, r.idx): r.c for r in rows.select("d", "idx", F.crc32(kv.chunk_payload(F.col("t"), F.col("b"), 2, 2, 4)).alias("c")).collect()}
+    assert {(r.doc_id, r.idx): r.checksum for r in some} == want
+    low = {r.doc_id: (r.s.low_sum, r.s.low_max) for r in df.select("doc_id", kv.low_bits(F.col("text"), 1, 1, 1, 3).alias("s")).collect()}
+    for i, t in raw.items():
+        each = [(x * 1664525 + (n + 1) * 1013904223 + 2 * 2654435761 + 2246822519 + 3 * 3266489917 + 668265263) & 0xFFFF for n, x in enumerate(t)]
+        assert low[i] == (sum(each), max(each))
+    assert spark.createDataFrame([("",), (None,)], "t string").select(kv.low_bits(F.col("t"), 1, 1, 1, 3).alias("s")).where("s.low_sum is not null").count() == 0
+
+
+def test_chains_are_cut_into_bounded_batches(spark):
+    text = "".join(chr(97 + i % 26) for i in range(4 * (keys.CHUNKS_AT_ONCE + 3)))
+    df = spark.createDataFrame([(1, "abcd"), (2, None), (3, text)], "id long, text string")
+    got = keys.chunk_keys(df, F.lit(bytes(32)), 4, F.col("text").cast("binary"), domain=DOMAIN, width=1, less=("text",)).collect()
+    assert [r.object_id.hex() for r in got if r.id == 3] == by_hand(bytes(32), text.encode(), 4) and sum(r.id != 3 for r in got) == 1
+    assert got[0].asDict().keys() == {"id", "scope_digest", "idx", "token_begin", "token_end", "prefix_digest", "object_id"}
